@@ -1,0 +1,24 @@
+"""Range-partitioned tables with a stored bucket number.
+
+A window without PARTITION BY moves all rows to one task. Instead the rows are range
+partitioned, written once together with the number of their partition, and windows run
+inside the buckets; what must cross a bucket edge is one small row per bucket.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+from pairlift.session import shuffle_partitions
+from pairlift.workspace import stable
+
+
+def range_buckets(df: DataFrame, order: list[Column], buckets: int | None = None) -> DataFrame:
+    """``df`` plus ``_bucket``; bucket numbers rise with ``order``.
+
+    The bucket number is stored in the written table: range edges come from a sample,
+    so they must be drawn once only.
+    """
+    n = buckets or shuffle_partitions(df.sparkSession)
+    ranged = df.repartitionByRange(n, *order).withColumn("_bucket", F.spark_partition_id())
+    return stable(ranged, "ranged")
