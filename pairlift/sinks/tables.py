@@ -12,7 +12,7 @@ from pairlift.operators.annotate import gene_bed, pair_bed, snp_bed
 
 def write_table(df: DataFrame, path: str, *, header: bool = False, partition_by: Sequence[str] = ()) -> None:
     df.write.mode("overwrite").partitionBy(*partition_by).csv(
-        path, sep="\t", header=header, nullValue="NA", nanValue="NaN", emptyValue=""
+        path, sep="\t", header=header, nullValue="NA", emptyValue=""
     )
 
 
