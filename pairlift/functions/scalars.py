@@ -49,3 +49,32 @@ def hash_u32(key: Column, seed: int) -> Column:
 
 def hash_unit(key: Column, seed: int) -> Column:
     return hash_u32(key, seed) / F.lit(4294967296.0)
+
+
+def _halves(x):
+    """Upper and lower part of a double, 26 bits each."""
+    c = x * 134217729.0
+    high = c - (c - x)
+    return high, x - high
+
+
+def fixed_decimals(x: Column, digits: int) -> Column:
+    """Round a double the way fixed-decimal printing does: by its exact binary value, ties to even.
+
+    F.round works on the shortest decimal text and rounds 0.071875 up although the double
+    lies below it. The rounding error of x * 10^digits is computed exactly and decides
+    where the product itself looks like a tie.
+    """
+    scale = 10.0**digits
+    scale_high, scale_low = _halves(scale)
+    product = x * scale
+    high, low = _halves(x)
+    error = ((high * scale_high - product) + high * scale_low + low * scale_high) + low * scale_low
+    base = F.floor(product)
+    rest = product - base
+    up = (
+        (rest > 0.5)
+        | ((rest == 0.5) & (error > 0))
+        | ((rest == 0.5) & (error == 0) & (F.pmod(base, F.lit(2)) == 1))
+    )
+    return (base + F.when(up, 1).otherwise(0)) / F.lit(scale)

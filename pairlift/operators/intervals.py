@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pairlift.operators.skew import grid_join, lookup_join
+from pairlift.functions.scalars import fixed_decimals
+from pairlift.operators.skew import grid_join, hot_hashes, lookup_join
+from pairlift.workspace import stable
 
 SIGNAL_BIN = 100_000
 
@@ -148,11 +150,16 @@ def signal_summary(queries: DataFrame, signal: DataFrame, *, bin_width: int = SI
         .select("chr", "pos", "_cov0", "_sum0", "_cov", "_sum")
     )
 
+    # Read once per query end, so the integration is not run twice.
+    readings = stable(readings, "readings")
+
     def at(side: str, col: str) -> DataFrame:
         names = {c: f"{c}_{side}" for c in ("_cov0", "_sum0", "_cov", "_sum")}
         return readings.withColumnRenamed("pos", col).withColumnsRenamed(names)
 
-    both = lookup_join(lookup_join(queries, at("a", "start"), ["chr", "start"]), at("b", "end"), ["chr", "end"])
+    both = queries
+    for side, col in (("a", "start"), ("b", "end")):
+        both = lookup_join(both, at(side, col), ["chr", col], hot=hot_hashes(queries, ["chr", col]))
 
     def between(name: str) -> Column:
         # Whole bins and in-bin parts are subtracted apart, so short queries lose no digits.
@@ -186,7 +193,7 @@ def attach_signal(
     summary = signal_summary(queries, signal, bin_width=bin_width)
     mean = F.col("mean0" if use_mean0 else "mean")
     if digits is not None:
-        mean = F.round(mean, digits)
+        mean = fixed_decimals(mean, digits)
     value = F.when(F.col("covered") >= min_data, mean).otherwise(F.lit(na_as).cast("double"))
     return summary.select(*queries.columns, value.alias(out))
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pairlift.functions.scalars import fixed_decimals
+
 
 def methylation_ratio(cell: Column, context: str = r"\w+") -> Column:
     """C / (C + T) to five decimals from a sample cell; NULL for a missing call or no reads."""
@@ -11,7 +13,7 @@ def methylation_ratio(cell: Column, context: str = r"\w+") -> Column:
     c = F.regexp_extract(cell, pattern, 1).try_cast("double")
     t = F.regexp_extract(cell, pattern, 2).try_cast("double")
     ratio = F.try_divide(c, c + t)
-    return F.when(cell != "./.", F.round(ratio, 5))
+    return F.when((cell != "./.") & ratio.isNotNull(), fixed_decimals(ratio, 5))
 
 
 def methylation_matrix(calls: DataFrame, context: str = r"\w+") -> DataFrame:

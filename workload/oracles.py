@@ -45,7 +45,7 @@ EVENTS = f"""
   loc AS (SELECT *, CASE WHEN pos < s THEN pos - 1 ELSE s END AS st, CASE WHEN pos > e THEN pos ELSE e END AS en FROM res),
   uni AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chr, st, en ORDER BY p_value, snp, gene) AS rn FROM loc) WHERE rn = 1),
   sig AS (SELECT chr, b * 600 AS s, b * 600 + least(600, n * 150) AS e, v FROM
-          (SELECT chr, pos // 600 AS b, count(*) AS n, avg(value) AS v FROM pts GROUP BY 1, 2)),
+          (SELECT chr, pos // 600 AS b, count(*) AS n, sqrt(1 + avg(value)) AS v FROM pts GROUP BY 1, 2)),
   sm AS (SELECT chr, st, en, coalesce(sum(cov), 0) AS covered, coalesce(sum(cov * v), 0.0) AS total FROM
           (SELECT u.chr, st, en, v, CASE WHEN sig.s IS NOT NULL THEN least(en, sig.e) - greatest(st, sig.s) END AS cov FROM
              (SELECT DISTINCT chr, st, en FROM uni) u LEFT JOIN sig ON u.chr = sig.chr AND sig.s < en AND sig.e > st)
@@ -160,7 +160,7 @@ def oracle_sql() -> dict[str, str]:
     q["interval_signal"] = f"""WITH {EVENTS} SELECT chr, st AS start, en AS "end", en - st AS size, covered, round(total, 6) AS sum,
       round(total / (en - st), 6) AS mean0, round(CASE WHEN covered > 0 THEN total / covered END, 6) AS mean FROM sm"""
     q["interval_signal_mean0"] = f"""WITH {EVENTS} SELECT chr, st AS start, en AS "end",
-      CASE WHEN covered >= 1000 THEN round(total / (en - st), 3) ELSE -1.0 END AS recomb FROM sm"""
+      CASE WHEN covered >= 1000 THEN printf('%.3f', total / (en - st))::DOUBLE ELSE -1.0 END AS recomb FROM sm"""
     q["contact_lookup"] = f"WITH {EVENTS} SELECT chr, st AS start, en AS \"end\", snp, gene, hic FROM hic"
     q["contact_norm"] = f"WITH {RAW} SELECT chr, b1 AS bin1, b2 AS bin2, round(v, 8) AS value FROM nor"
     q["contact_oe"] = f"""WITH {RAW} SELECT nor.chr, b1 AS bin1, b2 AS bin2, round(nor.v / exq.v, 8) AS value FROM nor
@@ -172,12 +172,12 @@ def oracle_sql() -> dict[str, str]:
       FROM ob JOIN ex USING (chr, len)"""
     cell2 = r"'0/0:' || l_suppkey || ':CH:' || l_partkey || ':q'"
     q["vcf_methylation"] = f"""SELECT 'cg:chr' || l_returnflag || '-' || (l_orderkey * 10 + l_linenumber) AS id,
-      round(CASE WHEN l_quantity + l_linenumber > 0 THEN floor(l_quantity) / (floor(l_quantity) + l_linenumber) END, 5) AS m1,
+      printf('%.5f', floor(l_quantity) / (floor(l_quantity) + l_linenumber))::DOUBLE AS m1,
       CASE WHEN l_discount = 0 OR l_suppkey + l_partkey = 0 THEN NULL ELSE
-        round(regexp_extract({cell2}, ':(\\d+):\\w+:(\\d+):', 1)::DOUBLE / (l_suppkey + l_partkey), 5) END AS m2,
+        printf('%.5f', regexp_extract({cell2}, ':(\\d+):\\w+:(\\d+):', 1)::DOUBLE / (l_suppkey + l_partkey))::DOUBLE END AS m2,
       CAST(NULL AS DOUBLE) AS m3 FROM lineitem WHERE l_linestatus = 'F'"""
     q["vcf_methylation_cg"] = """SELECT 'cg:chr' || l_returnflag || '-' || (l_orderkey * 10 + l_linenumber) AS id,
-      round(floor(l_quantity) / (floor(l_quantity) + l_linenumber), 5) AS m1,
+      printf('%.5f', floor(l_quantity) / (floor(l_quantity) + l_linenumber))::DOUBLE AS m1,
       CAST(NULL AS DOUBLE) AS m2, CAST(NULL AS DOUBLE) AS m3 FROM lineitem WHERE l_linestatus = 'F'"""
     q["matrix_melt"] = "SELECT vec_id::VARCHAR AS id, 's' || (i - 1) AS sample, embedding[i]::DOUBLE AS value FROM embeddings, generate_series(1, 64) g(i)"
     q["matrix_subset"] = """WITH s AS (SELECT i FROM generate_series(0, 63) g(i) ORDER BY md5('2015:s' || i), 's' || i LIMIT 20),
