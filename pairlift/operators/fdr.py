@@ -1,18 +1,35 @@
 """Benjamini-Hochberg false discovery rate at scale.
 
-q of rank i is the minimum over j >= i of n * p_j / j, at most 1. Equal p share one q,
-so the work runs on distinct p with their counts: a p that a third of the rows share is
-one row after the map-side combine.
+q of rank i is the minimum over j >= i of n * p_j / j, at most 1. A window over all rows
+would put them into one task. Here p is cut into buckets of about equal size at approximate
+quantiles; ranks and minima are taken inside a bucket, and one row per bucket carries the
+count before it and the minimum behind it. Any bucket edges give the exact result, so they
+may come from a sketch.
+
+A p-value that very many rows share would fill one bucket. Such values are found by a
+top-k sketch and enter as one row with a count; their q goes back by a map-side join.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window, functions as F
 
-from pairlift.operators.ranges import range_buckets
-from pairlift.operators.skew import lookup_join
+from pairlift.operators.skew import hot_hashes, lookup_join, small_or_plain
+from pairlift.session import shuffle_partitions
+from pairlift.workspace import written
+
+
+def _bucketizer(df: DataFrame, buckets: int) -> Bucketizer:
+    """Edges at approximate quantiles of ``_p``: one scan of that column, ``buckets`` numbers come back."""
+    shares = [i / buckets for i in range(1, buckets)] or [0.5]
+    row = df.agg(F.percentile_approx("_p", shares, max(10_000, 50 * buckets)).alias("edges")).first()
+    inner = sorted({float(e) for e in row["edges"] or [] if e is not None and abs(e) != float("inf")})
+    if not inner:
+        inner = [0.0]
+    return Bucketizer(splits=[-float("inf"), *inner, float("inf")], inputCol="_p", outputCol="_bucket")
 
 
 def bh_adjust(
@@ -26,56 +43,87 @@ def bh_adjust(
     alpha: float | None = None,
     digits: int | None = None,
     buckets: int | None = None,
+    hot: list[int] | None = None,
 ) -> DataFrame:
     """``df`` plus the adjusted value ``out``. Rows without a p-value are no tests and are left out.
 
-    log10: ``p_col`` holds -log10(p); ranks and minima are then taken in log space.
-    n_tests: number of tests done, when ``df`` holds only the reported ones.
-    alpha: adds a ``significant`` flag. digits: rounds the result.
+    by: adjust within groups. n_tests: number of tests done, when ``df`` holds only the
+    reported ones. log10: ``p_col`` holds -log10(p); ranks and minima are then taken in
+    log space. alpha: adds a ``significant`` flag. digits: rounds the result.
     """
     by = list(by)
-    df = df.where(F.col(p_col).isNotNull())
-    counts = df.groupBy(*by, F.col(p_col).alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
-    ascending = F.col("_p").desc() if log10 else F.col("_p").asc()
-    descending = F.col("_p").asc() if log10 else F.col("_p").desc()
-    ranged = range_buckets(counts, [*[F.col(c) for c in by], ascending], buckets)
-
-    # One row per (group, bucket): how many tests lie before it.
-    per_bucket = ranged.groupBy(*by, "_bucket").agg(F.sum("_c").alias("_in"))
-    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    per_group = Window.partitionBy(*by)
-    offsets = per_bucket.select(
-        *by,
-        "_bucket",
-        F.coalesce(F.sum("_in").over(earlier), F.lit(0)).alias("_before"),
-        (F.lit(n_tests) if n_tests is not None else F.sum("_in").over(per_group)).cast("double").alias("_n"),
+    columns = df.columns
+    rows = written(df, "tests").withColumn("_p", F.col(p_col).cast("double"))
+    rows = rows.where(F.col("_p").isNotNull() & ~F.isnan("_p"))
+    narrow = rows.select(*by, "_p")
+    # More buckets than tasks, so that hashing them to tasks comes out even.
+    edges = _bucketizer(narrow, buckets or 8 * shuffle_partitions(df.sparkSession))
+    hot = hot_hashes(narrow, ["_p"]) if hot is None else hot
+    number = F.col("_bucket").cast("int")
+    rows = edges.transform(rows).withColumn("_bucket", number)
+    narrow = edges.transform(narrow).withColumn("_bucket", number)
+
+    # One row per (group, bucket): tests before it and inside it.
+    per_bucket = narrow.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_in"))
+    earlier = Window.partitionBy(*by).orderBy(F.desc("_bucket") if log10 else F.asc("_bucket"))
+    total = F.lit(n_tests) if n_tests is not None else F.sum("_in").over(Window.partitionBy(*by))
+    offsets = small_or_plain(
+        per_bucket.select(
+            *by,
+            "_bucket",
+            F.sum("_in").over(earlier.rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"),
+            total.cast("double").alias("_n"),
+        )
     )
-    inside = Window.partitionBy(*by, "_bucket")
-    ranked = lookup_join(ranged, offsets, [*by, "_bucket"], null_safe=by, hot=[]).withColumn(
-        "_rank", F.col("_before") + F.sum("_c").over(inside.orderBy(ascending).rowsBetween(Window.unboundedPreceding, 0))
+
+    def weighted(table: DataFrame, payload: list[str]) -> DataFrame:
+        """Rows with weight 1, and each hot p-value as one row with its count."""
+        single = table.withColumn("_row", F.struct(*payload)) if payload else table
+        keep = [*by, "_p", "_bucket", *(["_row"] if payload else [])]
+        if not hot:
+            return single.select(*keep, F.lit(1).cast("long").alias("_c"))
+        is_hot = F.xxhash64("_p").isin(hot)
+        many = table.where(is_hot).groupBy(*by, "_p", "_bucket").agg(F.count(F.lit(1)).alias("_c"))
+        return single.where(~is_hot).select(*keep, F.lit(1).cast("long").alias("_c")).unionByName(many, allowMissingColumns=True)
+
+    # From the largest p down, one sort serves the rank and the running minimum. The rank
+    # of a tie is that of its last member; rank() and the surplus weight seen so far give
+    # the tests with a larger p.
+    down = Window.partitionBy(*by, "_bucket").orderBy(F.asc("_p") if log10 else F.desc("_p"))
+
+    def raw_values(table: DataFrame) -> DataFrame:
+        table = lookup_join(table, offsets, [*by, "_bucket"], null_safe=by, hot=[])
+        larger = F.rank().over(down) - 1
+        if hot:
+            larger = larger + F.sum(F.col("_c") - 1).over(down) - (F.col("_c") - 1)
+        ranked = table.withColumn("_rank", F.col("_upto") - larger)
+        if log10:
+            raw = F.log10("_n") - F.col("_p") - F.log10("_rank")
+        else:
+            raw = F.col("_n") * F.col("_p") / F.col("_rank")
+        return ranked.withColumn("_raw", raw)
+
+    minima = raw_values(weighted(narrow, [])).groupBy(*by, "_bucket").agg(F.min("_raw").alias("_m"))
+    behind = Window.partitionBy(*by).orderBy(F.asc("_bucket") if log10 else F.desc("_bucket"))
+    tails = small_or_plain(
+        minima.select(*by, "_bucket", F.min("_m").over(behind.rowsBetween(Window.unboundedPreceding, -1)).alias("_tail"))
     )
+
+    cap = 0.0 if log10 else 1.0
+    ranked = raw_values(weighted(rows, columns)).withColumn("_run", F.min("_raw").over(down))
+    best = lookup_join(ranked, tails, [*by, "_bucket"], null_safe=by, hot=[])
+    value = F.least(F.lit(cap), "_run", "_tail")
     if log10:
-        raw = F.log10("_n") - F.col("_p") - F.log10("_rank")
-        cap = F.lit(0.0)
-    else:
-        raw = F.col("_n") * F.col("_p") / F.col("_rank")
-        cap = F.lit(1.0)
-    ranked = ranked.withColumn("_raw", raw)
-
-    # Minimum over the later buckets, again from one row per bucket.
-    minima = ranked.groupBy(*by, "_bucket").agg(F.min("_raw").alias("_m"))
-    later = Window.partitionBy(*by).orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    tails = minima.select(*by, "_bucket", F.min("_m").over(later).alias("_tail"))
-    running = F.min("_raw").over(inside.orderBy(descending).rowsBetween(Window.unboundedPreceding, 0))
-    best = lookup_join(
-        ranked.withColumn("_run", running), tails, [*by, "_bucket"], null_safe=by, hot=[]
-    ).withColumn("_best", F.least(cap, "_run", "_tail"))
-    value = F.pow(F.lit(10.0), F.col("_best")) if log10 else F.col("_best")
+        value = F.pow(F.lit(10.0), value)
     if digits is not None:
         value = F.round(value, digits)
-    adjusted = best.select(*by, F.col("_p").alias(p_col), value.alias(out))
-
-    result = lookup_join(df, adjusted, [*by, p_col], null_safe=by)
+    adjusted = best.withColumn(out, value)
+    result = adjusted.where(F.col("_row").isNotNull()).select("_row.*", out)
+    if hot:
+        # At most a few hundred p-values per group; joined by shuffle if the groups are many.
+        shared = small_or_plain(adjusted.where(F.col("_row").isNull()).select(*by, "_p", out))
+        back = rows.where(F.xxhash64("_p").isin(hot)).drop("_bucket")
+        result = result.unionByName(lookup_join(back, shared, [*by, "_p"], null_safe=by).select(*columns, out))
     if alpha is not None:
         result = result.withColumn("significant", F.col(out) <= alpha)
-    return result.select(*df.columns, out, *(["significant"] if alpha is not None else []))
+    return result

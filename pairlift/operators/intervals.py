@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pairlift.functions.scalars import fixed_decimals
 from pairlift.operators.skew import grid_join, hot_hashes, lookup_join
-from pairlift.workspace import stable
+from pairlift.workspace import stable, written
 
 SIGNAL_BIN = 100_000
 
@@ -82,6 +82,7 @@ def signal_summary(queries: DataFrame, signal: DataFrame, *, bin_width: int = SI
     readings. Window groups are single bins, which hold at most one row per base
     and kind whatever the number of queries; totals of whole bins carry over.
     """
+    queries, signal = written(queries, "queries"), written(signal, "signal")
     start, end, value = F.col("start"), F.col("end"), F.col("value")
     pieces = (
         signal.where((end > start) & value.isNotNull() & ~F.isnan(value))

@@ -11,6 +11,7 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairlift.operators.quality import fold_summary, regression_metrics
+from pairlift.operators.spread import spread
 from pairlift.workspace import shared_dir, stable
 
 # Stands in for a missing feature value; features are non-negative, so it splits off cleanly.
@@ -66,7 +67,8 @@ def fit_regression(
         model = RandomForestRegressor(labelCol=label, numTrees=trees, featureSubsetStrategy="auto", **shared)
     else:
         raise ValueError(f"unknown model kind {kind!r}")
-    return Pipeline(stages=[*_feature_stages(features, categorical), model]).fit(train)
+    used = [c for c in (*features, *categorical, label, validation_col) if c]
+    return Pipeline(stages=[*_feature_stages(features, categorical), model]).fit(spread(train.select(*dict.fromkeys(used))))
 
 
 def fit_classifier(
@@ -95,7 +97,7 @@ def fit_classifier(
     else:
         model = RandomForestClassifier(numTrees=trees, impurity="entropy", **out, **shared)
     decode = IndexToString(inputCol="prediction__i", outputCol="prediction", labels=names.labels)
-    prepared = names.transform(train)
+    prepared = spread(names.transform(train.select(*dict.fromkeys([*features, *categorical, label]))))
     return Pipeline(stages=[*_feature_stages(features, categorical), model, decode]).fit(prepared)
 
 

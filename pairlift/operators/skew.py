@@ -65,7 +65,8 @@ def lookup_join(
 
     A small right side is broadcast by adaptive execution on its measured size. For
     hot keys of the left side, the left rows are spread over ``pieces`` and the one
-    matching right row is copied to each piece.
+    matching right row is copied to each piece. ``hot`` lets a caller look for hot keys
+    in the table a longer chain of joins starts from.
     """
     keys = list(keys)
     right = _cast_like(right, keys, left)

@@ -36,3 +36,22 @@ def stable(df: DataFrame, label: str = "table") -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+# Plans of these nodes alone are a scan: reading such a table twice costs a scan and no more.
+_SCAN_NODES = {"Project", "Filter", "SubqueryAlias", "View", "LogicalRelation", "Relation", "LocalRelation", "LogicalRDD"}
+
+
+def _is_scan(node) -> bool:
+    if node.nodeName().split(" ")[0] not in _SCAN_NODES:
+        return False
+    children = node.children()
+    return all(_is_scan(children.apply(i)) for i in range(children.size()))
+
+
+def written(df: DataFrame, label: str = "input") -> DataFrame:
+    """``df`` itself if it only scans files, else a written copy.
+
+    For operators that read their input more than once: the work behind it runs once.
+    """
+    return df if _is_scan(df._jdf.queryExecution().analyzed()) else stable(df, label)
