@@ -12,10 +12,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pairlift.session import shuffle_partitions
+
 # Under this planned size a whole side fits one task, so looking for hot keys is not worth a scan.
 SKEW_CHECK_BYTES = 1 << 30
-HOT_KEYS = 200
-HOT_SHARE = 1.0 / 400
+HOT_KEYS = 1000
+SKETCH_ITEMS = 65_536
 PIECES = 64
 BROADCAST_ROWS = 200_000
 
@@ -26,13 +28,14 @@ def planned_bytes(df: DataFrame) -> int:
 
 
 def hot_hashes(df: DataFrame, keys: Sequence[str], check_bytes: int | None = None) -> list[int]:
-    """Hashes of the keys that hold more than HOT_SHARE of the rows: at most HOT_KEYS."""
+    """Hashes of the keys with more rows than an average shuffle task gets: at most HOT_KEYS."""
     if planned_bytes(df) < (SKEW_CHECK_BYTES if check_bytes is None else check_bytes):
         return []
     row = df.select(F.xxhash64(*keys).alias("h")).agg(
-        F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(h, {HOT_KEYS}, 8192)").alias("top")
+        F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(h, {HOT_KEYS}, {SKETCH_ITEMS})").alias("top")
     ).first()
-    return [r["item"] for r in row["top"] if r["count"] >= max(2, row["n"] * HOT_SHARE)]
+    bound = max(2, row["n"] / shuffle_partitions(df.sparkSession))
+    return [r["item"] for r in row["top"] if r["count"] >= bound]
 
 
 def _cast_like(df: DataFrame, keys: Sequence[str], model: DataFrame) -> DataFrame:

@@ -1,0 +1,107 @@
+"""End to end on a simulated cohort with planted associations."""
+
+import numpy as np
+import pytest
+
+from pairlift.operators import models
+from pairlift.plans import jobs, rescoring
+
+
+@pytest.fixture(scope="module")
+def cohort(tmp_path_factory):
+    rng = np.random.default_rng(9)
+    n, n_snp, n_gene = 60, 120, 40
+    folder = tmp_path_factory.mktemp("cohort")
+    samples = [f"p{i}" for i in range(n)]
+    x = rng.integers(0, 3, size=(n_snp, n)).astype(float)
+    y = rng.normal(size=(n_gene, n))
+    planted = {}
+    for j in range(0, n_gene, 4):
+        y[j] += 1.6 * x[3 * j]
+        planted[f"s{3 * j}"] = f"g{j}"
+
+    def table(name, head, body):
+        text = "\n".join("\t".join(str(v) for v in row) for row in [head, *body] if row) + "\n"
+        (folder / name).write_text(text)
+
+    table("snps", ["id", *samples], [[f"s{i}", *row] for i, row in enumerate(x)])
+    table("genes", ["id", *samples], [[f"g{j}", *row] for j, row in enumerate(y)])
+    table("snp_loc", ["id", "chr", "pos"], [[f"s{i}", "chr1", 10_000 * i + 5] for i in range(n_snp)])
+    table("gene_loc", ["id", "chr", "s", "e"], [[f"g{j}", "chr1", 30_000 * j + 2_000, 30_000 * j + 9_000] for j in range(n_gene)])
+    table("signal", [], [["chr1", s, s + 4_000, round(1 + rng.random(), 3)] for s in range(0, 1_200_000, 5_000)])
+    table("contacts", [], [[f"{a}:{a + d}", round(rng.random(), 3)] for a in range(0, 1200) for d in (3, 9, 30)])
+    return folder, planted
+
+
+def paths(folder):
+    return {k: str(folder / k) for k in ("snps", "genes", "snp_loc", "gene_loc", "signal", "contacts")}
+
+
+@pytest.fixture(scope="module")
+def parts(spark, cohort):
+    from pairlift.sources import genomics as g
+    from pairlift.workspace import stable
+
+    p = paths(cohort[0])
+    snp_loc, gene_loc = g.read_snp_locations(spark, p["snp_loc"]), g.read_gene_locations(spark, p["gene_loc"])
+    results = rescoring.associate_region(
+        g.read_matrix(spark, p["snps"]).rows, g.read_matrix(spark, p["genes"]).rows, snp_loc, gene_loc, region="chr1", distance=60_000
+    )
+    results = stable(results.drop("neg_log10_p"))
+    features = rescoring.pair_features(
+        results, snp_loc, gene_loc, g.read_sparse_contacts(spark, p["contacts"], "chr1"), g.read_signal(spark, p["signal"])
+    )
+    return results, stable(features)
+
+
+def truth_of(results):
+    return results.selectExpr("concat_ws('-', snp, gene) key", "p_value raw_p", "fdr", "1L line")
+
+
+def test_planted_pairs_come_first(cohort, parts):
+    results, _ = parts
+    best = {(r["snp"], r["gene"]) for r in results.orderBy("p_value").limit(len(cohort[1])).collect()}
+    assert best == set(cohort[1].items())
+
+
+def test_features(parts):
+    results, features = parts
+    assert features.count() > 200
+    assert features.where("recomb is null").count() == 0
+    assert features.where("hic is null and abs(floor(end / 1000) - floor(start / 1000)) > 1").count() == 0
+    assert features.groupBy("chr", "start", "end").count().where("count > 1").count() == 0
+
+
+def test_train_then_detect(spark, cohort, parts, tmp_path):
+    results, features = parts
+    rows = rescoring.training_set(features, truth_of(results), positives=10_000, negatives=10_000)
+    assert rows.count() == features.count()
+    trained = rescoring.train(rows, k=2, trees=15, depth=3, step=0.3)
+    assert trained.cross_validation.count() == 2
+    assert trained.validation.first()["n"] > 0
+    found = rescoring.detect(features, trained.model, alpha=0.05)
+    # A leaf holds at least ten rows, so planted pairs share the top with their nearest rivals.
+    top = {(r["snp"], r["gene"]) for r in found.orderBy("adjusted").limit(20).collect()}
+    assert len(top & set(cohort[1].items())) >= 0.8 * len(cohort[1])
+    assert found.where("adjusted > 1 or adjusted < 0").count() == 0
+
+    models.save_model(trained.model, str(tmp_path / "model"))
+    p = paths(cohort[0])
+    kept = results.select("snp", "gene", "beta", "t_stat", "p_value", "fdr")
+    kept.write.csv(str(tmp_path / "results"), sep="\t", header=True)
+    p.pop("snps"), p.pop("genes")
+    jobs.detect_job(spark, str(tmp_path / "out"), model=str(tmp_path / "model"), results=str(tmp_path / "results"), **p)
+    lines = [line for f in (tmp_path / "out").glob("part-*") for line in f.read_text().splitlines()]
+    assert len(lines) == features.count()
+
+
+def test_region_limits_the_variants(spark, cohort):
+    from pairlift.sources import genomics as g
+
+    p = paths(cohort[0])
+    out = rescoring.associate_region(
+        g.read_matrix(spark, p["snps"]).rows, g.read_matrix(spark, p["genes"]).rows,
+        g.read_snp_locations(spark, p["snp_loc"]), g.read_gene_locations(spark, p["gene_loc"]),
+        region="chr1:100000-200000", distance=60_000,
+    )
+    assert {r["snp"] for r in out.select("snp").distinct().collect()} == {f"s{i}" for i in range(10, 20)}
