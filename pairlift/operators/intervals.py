@@ -13,6 +13,8 @@ from pairlift.operators.skew import grid_join, hot_hashes, lookup_join
 from pairlift.workspace import stable, written
 
 SIGNAL_BIN = 100_000
+# Narrower bins would copy a long region too often.
+MIN_PAIR_BIN = 5_000
 
 
 def _bin(pos: Column, width: int) -> Column:
@@ -33,7 +35,7 @@ def near_pairs(
     A point has exactly one bin and a region one copy per bin it reaches, so no pair
     can come out twice. Both bounds are inclusive.
     """
-    width = bin_width or max(int(distance), 1)
+    width = bin_width or max(int(distance), MIN_PAIR_BIN)
     left = points.withColumn("_bin", _bin(F.col("pos"), width))
     right = regions.withColumn(
         "_bin",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pairlift.operators.dedup import adjacent_distinct, first_per_key
 from pairlift.operators.intervals import near_pairs, overlap_pairs, parse_region, signal_summary
 from pairlift.operators.skew import grid_join, hot_hashes, lookup_join, small_or_plain
+from pairlift.workspace import written
 
 
 @pytest.fixture(scope="module")
@@ -52,6 +53,18 @@ def test_small_or_plain(spark, rows, skewed):
     assert small_or_plain(skewed, max_rows=10) is skewed
 
 
+def test_only_scans_are_read_twice(spark, skewed, tmp_path):
+    skewed.write.parquet(str(tmp_path / "t"))
+    scan = spark.read.parquet(str(tmp_path / "t"))
+    light = scan.where("v > 5").select("k")
+    assert written(light) is light
+    heavy = scan.groupBy("k").count()
+    copy = written(heavy)
+    assert copy is not heavy and "Aggregate" not in copy._jdf.queryExecution().optimizedPlan().toString()
+    text = spark.read.text(str(tmp_path / "t"))
+    assert written(text) is text
+
+
 @pytest.fixture(scope="module")
 def genome(spark):
     rng = random.Random(3)
@@ -71,7 +84,7 @@ def test_near_pairs(spark, genome, distance, width, hot):
     r = spark.createDataFrame(regions, "gene string, chr string, start long, end long")
     force = None
     if hot:
-        w = width or max(distance, 1)
+        w = width or max(distance, 5_000)
         keyed = p.withColumn("_bin", F.floor(F.col("pos") / w))
         force = hot_hashes(keyed, ["chr", "_bin"], check_bytes=0)
         assert force

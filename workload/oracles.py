@@ -157,7 +157,7 @@ def oracle_sql() -> dict[str, str]:
       WHERE prev IS NULL OR prev <> event_type"""
     q["overlap_pairs"] = f"""WITH {EVENTS} SELECT reg.gene, reg.chr, reg.s AS start, reg.e AS "end", sig.s AS start2, sig.e AS end2,
       least(reg.e, sig.e) - greatest(reg.s, sig.s) AS overlap FROM reg JOIN sig ON reg.chr = sig.chr AND sig.s < reg.e AND reg.s < sig.e"""
-    q["interval_signal"] = f"""WITH {EVENTS} SELECT chr, st AS start, en AS "end", en - st AS size, covered, round(total, 6) AS sum,
+    q["interval_signal"] = f"""WITH {EVENTS} SELECT chr, st AS start, en AS "end", en - st AS size, covered::BIGINT AS covered, round(total, 6) AS sum,
       round(total / (en - st), 6) AS mean0, round(CASE WHEN covered > 0 THEN total / covered END, 6) AS mean FROM sm"""
     q["interval_signal_mean0"] = f"""WITH {EVENTS} SELECT chr, st AS start, en AS "end",
       CASE WHEN covered >= 1000 THEN printf('%.3f', total / (en - st))::DOUBLE ELSE -1.0 END AS recomb FROM sm"""
