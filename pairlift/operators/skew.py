@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pairlift.session import shuffle_partitions
+from pairlift.workspace import written
 
 # Under this planned size a whole side fits one task, so looking for hot keys is not worth a scan.
 SKEW_CHECK_BYTES = 1 << 30
@@ -38,6 +39,11 @@ def hot_hashes(df: DataFrame, keys: Sequence[str], check_bytes: int | None = Non
     return [r["item"] for r in row["top"] if r["count"] >= bound]
 
 
+def reusable(df: DataFrame, label: str = "input") -> DataFrame:
+    """``df``, written first if it is large enough for the hot-key scans to read it again."""
+    return written(df, label) if planned_bytes(df) >= SKEW_CHECK_BYTES else df
+
+
 def _cast_like(df: DataFrame, keys: Sequence[str], model: DataFrame) -> DataFrame:
     types = {f.name: f.dataType for f in model.schema.fields}
     have = {f.name: f.dataType for f in df.schema.fields}
@@ -126,13 +132,14 @@ def grid_join(
     return left.join(right, on).drop("_lp", "_rp")
 
 
-def small_or_plain(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` if it has at most ``max_rows`` rows, else leave the join to Spark.
+def small_or_plain(df: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """Broadcast ``df`` if it has at most ``max_rows`` (BROADCAST_ROWS) rows, else leave the join to Spark.
 
     Meant for narrow aggregated tables. The rows are read once: a small table comes
     back as literal rows, a larger one is returned unchanged and joins by shuffle.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
+    max_rows = BROADCAST_ROWS if max_rows is None else max_rows
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
