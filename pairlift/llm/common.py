@@ -13,6 +13,7 @@ from pairlift.workspace import scratch_path
 
 # Text handled at a time inside a task; a batch that Spark hands over is cut into slices of about this size.
 SLICE_BYTES = 8 << 20
+SLICE_ROWS = 4096
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
@@ -49,7 +50,7 @@ def crc32_of_id(doc_id: Column) -> Column:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The rows of ``batches`` in slices of about SLICE_BYTES of ``column``; a longer row is a slice of its own."""
+    """The rows of ``batches`` in slices of about SLICE_BYTES of ``column`` and at most SLICE_ROWS rows; a longer row is a slice of its own."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -58,7 +59,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
         start = 0
         while start < batch.num_rows:
             done = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, done + SLICE_BYTES, side="right")))
+            stop = int(np.searchsorted(ends, done + SLICE_BYTES, side="right"))
+            stop = min(max(stop, start + 1), start + SLICE_ROWS)
             yield batch.slice(start, stop - start)
             start = stop
 
