@@ -167,20 +167,21 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int
 
 def _star_pairs(shared: DataFrame) -> DataFrame:
     """Each bucket's members with its centre, every pair once."""
-    fame = shared.groupBy("cid").agg(F.sum("size").alias("fame"))
+    fame = staged(shared.groupBy("cid").agg(F.sum("size").alias("fame")), "fame")
     famed = shared.join(fame, "cid")
     centre = famed.groupBy("band").agg(F.max(F.struct("fame", F.bitwise_not("cid").alias("c"))).alias("best"))
-    centre = centre.select("band", F.bitwise_not(F.col("best.c")).alias("b"))
+    centre = staged(centre.select("band", F.bitwise_not(F.col("best.c")).alias("b")), "centres")
     return shared.join(centre, "band").filter("cid <> b").select(F.col("cid").alias("a"), "b").distinct()
 
 
 def _open_pairs(shared: DataFrame, roots: DataFrame, tested: DataFrame) -> DataFrame:
     """Untested pairs of one bucket but two components, with at least one outside the bucket's largest component."""
     found = shared.select("band", "cid").join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left")
-    found = found.select("band", "cid", F.coalesce("root", "cid").alias("root"))
+    found = staged(found.select("band", "cid", F.coalesce("root", "cid").alias("root")), "rooted-bands")
     sizes = found.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("band").agg(F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
-    mixed = staged(found.join(main.select("band", F.col("top.root").alias("main")), "band"), "mixed-buckets")
+    main = staged(main.select("band", F.col("top.root").alias("main")), "main-roots")
+    mixed = staged(found.join(main, "band"), "mixed-buckets")
     minor = mixed.filter("root <> main").select("band", F.col("cid").alias("a"), F.col("root").alias("root_a"))
     other = mixed.select("band", F.col("cid").alias("b"), F.col("root").alias("root_b"), (F.col("root") == F.col("main")).alias("is_main"))
     pairs = minor.join(other, "band").filter("root_a <> root_b and (is_main or a > b)").select("a", "b").distinct()
@@ -198,13 +199,15 @@ def near_duplicate_groups(tagged: DataFrame, *, width: int = 5, percent: int = 8
         raise ValueError("percent must be 1 to 100 and width at least 1")
     signed = staged(tagged.select("uid", "doc_id", "text").mapInArrow(_sign(width), _SIGNED_DDL), "signed")
     filled = signed.filter("n_shingles > 0")
-    classes = filled.groupBy("set_key").agg(F.min("uid").alias("cid"))
+    # Minima are written before they are joined back, here and below: adaptive execution can split a hot key
+    # only where both sides of the join come from a shuffle of their own.
+    classes = staged(filled.groupBy("set_key").agg(F.min("uid").alias("cid")), "class-ids")
     member = staged(filled.select("uid", "set_key").join(classes, "set_key").select("uid", "cid"), "members")
     heads = member.filter("uid = cid").select("cid")
     classes = staged(signed.select(F.col("uid").alias("cid"), "n_shingles", "registers").join(heads, "cid"), "classes")
     bands = classes.select("cid", "registers").mapInArrow(_bands, "band long, cid long")
     bands = staged(bands, "bands")
-    sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    sizes = staged(bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "band-sizes")
     shared = staged(bands.join(sizes, "band"), "shared-bands")
     texts = signed.select("uid", "text")
     tested = staged(_star_pairs(shared), "candidates")
@@ -225,7 +228,7 @@ def near_duplicate_groups(tagged: DataFrame, *, width: int = 5, percent: int = 8
     first = rows.filter("root is not null").groupBy("root").agg(
         F.max(F.struct(F.col("doc_id").isNotNull().alias("has"), F.bitwise_not("doc_id").alias("id"), F.bitwise_not("uid").alias("u"))).alias("best")
     )
-    return rows.join(first, "root", "left").select(
+    return rows.join(staged(first, "first-rows"), "root", "left").select(
         "uid",
         "doc_id",
         "n_shingles",
