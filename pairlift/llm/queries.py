@@ -5,9 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pairlift.llm import exact_dedup, minhash, packing
+from pairlift.llm import (
+    byte_bpe,
+    exact_dedup,
+    license_scan,
+    lm_scoring,
+    minhash,
+    packing,
+    quality_classifier,
+    quality_rules,
+    token_counts,
+    training_order,
+)
+from pairlift.workspace import scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,11 +42,92 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of all documents."""
+    docs = _table(spark, sf_dir, "documents")
+    return license_scan.license_summary(docs, license_scan.fit(docs))
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as byte-level BPE ids and back."""
+    ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    coded = byte_bpe.decode(byte_bpe.encode(_table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram token counts of all documents."""
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of all documents."""
+    return lm_scoring.score(_table(spark, sf_dir, "documents"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules on all documents."""
+    return quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    docs = _table(spark, sf_dir, "documents")
+    return quality_classifier.quality_scores(docs, quality_classifier.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as shards of sequences in training order, as read back from the shards."""
+    path = scratch_path(spark, "shards")
+    shards, index = training_order.materialise(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path, key=2026)
+    read = shards.read(spark).select("slot", F.col("n_ids").alias("n_read"), F.crc32("ids").alias("read_crc32"))
+    size = shards.shard_records
+    return index.join(read, "slot", "full").select(
+        "slot",
+        F.expr(f"slot div {size}").alias("shard"),
+        (F.col("slot") % size * shards.stride).alias("at_byte"),
+        "n_ids",
+        "doc_ids",
+        "ids_crc32",
+        "n_read",
+        "read_crc32",
+    )
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline from documents to packed sequences."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 # SQL counterparts; the others are tested against brute force.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_exact_dedup": r"""
+        WITH bare AS (
+            SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS b FROM documents
+        ), named AS (
+            SELECT doc_id, first_value(doc_id) OVER (PARTITION BY b ORDER BY length(t) DESC, doc_id) AS keep_id,
+                count(*) OVER (PARTITION BY b) AS group_size, sha256(b) AS text_sha256
+            FROM bare
+        )
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM named
+    """,
+}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_best_fit_packing": op2_best_fit_packing,
-    "op4_exact_dedup": op4_exact_dedup,
-    "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    f.__name__: f
+    for f in (
+        op1_license_scan,
+        op2_best_fit_packing,
+        op3_byte_bpe,
+        op4_exact_dedup,
+        op5_token_counts,
+        op6_minhash_near_dedup,
+        op7_lm_scoring,
+        op8_quality_rules,
+        op9_quality_classifier,
+        op10_training_order,
+        pipeline,
+    )
 }
