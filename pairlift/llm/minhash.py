@@ -5,15 +5,18 @@ the bucket's smallest second hash is stored as a register: the count of its lead
 and the ``MANTISSA_BITS`` bits after the first one. Bands of registers are the join keys.
 
 1. Equal sets become one class; only classes go on.
-2. Classes that share a band are candidates. In each band bucket all members are compared to
+2. An empty register borrows, for the bands only, the first filled one in its own fixed random
+   order of buckets, so that a register of two sets agrees as often as the sets are similar,
+   however few shingles they have. Classes that share a band are candidates. In each band bucket all members are compared to
    one centre, the member that shares most bands with others: the text that the copies were
    made from, as a rule. So links grow with the members, not with their pairs.
 3. Registers estimate each candidate's Jaccard similarity, corrected for the collisions of
    shortened registers; those below the threshold by five standard deviations go.
 4. The rest is compared on the full sets, made again from the texts.
-5. Linked classes become components. Where a bucket still holds more than one component, the
-   members outside its largest one are compared to those of other components, so a link
-   that no centre shows isn't lost. That repeats until buckets offer nothing untested.
+5. Linked classes become components. Where a bucket still holds more than one component, its
+   members outside the largest one are strays of that one. Strays are compared, on full sets,
+   to all members and all strays of it, in blocks of bounded size; only links that connect
+   something new leave a block. So no link of a band pair is lost that a centre doesn't show.
 
 With 32 bands of 5 registers a pair at similarity 0.85 shares no band with a probability of
 about 7e-9, at 0.8 of about 3e-6.
@@ -36,6 +39,8 @@ MANTISSA_BITS = 10
 # Expected collisions of two unrelated registers' mantissas, over 2 ** -MANTISSA_BITS (the HyperMinHash paper's constant).
 COLLISIONS = 0.169919487159739
 SIGMAS = 5.0
+# Shingles of one side of a block in which strays are compared.
+BLOCK_SHINGLES = 400_000
 
 _SIGNED = pa.schema(
     [("uid", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("registers", pa.binary()), ("text", pa.string())]
@@ -105,11 +110,25 @@ def _sign(width: int):
     return run
 
 
+def densified(registers: np.ndarray) -> np.ndarray:
+    """Register rows in which an empty register has the value of the first filled one in its own order of buckets."""
+    order = np.array([np.random.default_rng([2017, i]).permutation(REGISTERS) for i in range(REGISTERS)])
+    out = registers.copy()
+    row, bucket = np.nonzero((registers == 0) & (registers > 0).any(axis=1)[:, None])
+    for step in range(REGISTERS):
+        if not len(row):
+            break
+        found = registers[row, order[bucket, step]]
+        out[row, bucket] = found
+        row, bucket = row[found == 0], bucket[found == 0]
+    return out
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        signs = _register_rows(batch.column("registers")).reshape(-1, BANDS, ROWS)
+        signs = densified(_register_rows(batch.column("registers"))).reshape(-1, BANDS, ROWS)
         key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), signs.shape[:2])
         for k in range(ROWS):
             key = mix64(key + (signs[:, :, k].astype(np.uint64) << np.uint64(16)) + np.uint64(1))
@@ -174,19 +193,89 @@ def _star_pairs(shared: DataFrame) -> DataFrame:
     return shared.join(centre, "band").filter("cid <> b").select(F.col("cid").alias("a"), "b").distinct()
 
 
-def _open_pairs(shared: DataFrame, roots: DataFrame, tested: DataFrame) -> DataFrame:
-    """Untested pairs of one bucket but two components, with at least one outside the bucket's largest component."""
-    found = shared.select("band", "cid").join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left")
-    found = staged(found.select("band", "cid", F.coalesce("root", "cid").alias("root")), "rooted-bands")
-    sizes = found.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("band").agg(F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+def _new_links(of_x: list[int], sets: list[np.ndarray], roots: list[int], is_y: list[bool], percent: int) -> Iterator[tuple[int, int]]:
+    """Links (positions) between the sets of ``of_x`` and all of ``is_y``, but for those inside what is connected already."""
+    y = [i for i, flag in enumerate(is_y) if flag]
+    flat = np.concatenate([sets[i] for i in y])
+    size = np.array([len(sets[i]) for i in y])
+    owner = np.repeat(np.arange(len(y)), size)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    parent = {r: r for r in roots}
+
+    def root(r: int) -> int:
+        while parent[r] != r:
+            parent[r] = parent[parent[r]]
+            r = parent[r]
+        return r
+
+    for i in of_x:
+        low, high = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
+        n = high - low
+        at = np.arange(n.sum()) + np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+        common = np.bincount(owner[at], minlength=len(y))
+        for k in np.nonzero((common > 0) & (100 * common >= percent * (len(sets[i]) + size - common)))[0]:
+            r, other = root(roots[i]), root(roots[y[k]])
+            if r != other:
+                parent[other] = r
+                yield i, y[k]
+
+
+def _compare_blocks(width: int, percent: int):
+    """Rows come sorted by block; a block's rows may be spread over batches."""
+
+    def links(part: pa.Table) -> pa.RecordBatch:
+        cids = part.column("cid").to_pylist()
+        sets = [s for piece in slices(part.combine_chunks().to_batches()) for s in shingle_sets(piece.column("text"), width)]
+        of_x = [i for i, flag in enumerate(part.column("is_x").to_pylist()) if flag]
+        found = list(_new_links(of_x, sets, part.column("root").to_pylist(), part.column("is_y").to_pylist(), percent)) if of_x else []
+        return pa.RecordBatch.from_arrays([pa.array([cids[f[k]] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now = None
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("main", "bx", "by")), strict=True))
+            start = 0
+            for stop in range(1, len(keys) + 1):
+                if stop < len(keys) and keys[stop] == keys[start]:
+                    continue
+                if keys[start] != now and held:
+                    yield links(pa.Table.from_batches(held))
+                    held = []
+                now = keys[start]
+                held.append(batch.slice(start, stop - start))
+                start = stop
+        if held:
+            yield links(pa.Table.from_batches(held))
+
+    return run
+
+
+def _stray_links(shared: DataFrame, roots: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links that connect components of one band bucket, as a written table (see step 5 above)."""
+    root_of = classes.select("cid", F.col("n_shingles").alias("n")).join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left")
+    root_of = staged(root_of.select("cid", "n", F.coalesce("root", "cid").alias("root")), "roots")
+    found = staged(shared.select("band", "cid").join(root_of, "cid"), "rooted-bands")
+    sizes = found.groupBy("band", "root").agg(F.count(F.lit(1)).alias("size"))
+    main = sizes.groupBy("band").agg(F.max(F.struct("size", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
     main = staged(main.select("band", F.col("top.root").alias("main")), "main-roots")
-    mixed = staged(found.join(main, "band"), "mixed-buckets")
-    minor = mixed.filter("root <> main").select("band", F.col("cid").alias("a"), F.col("root").alias("root_a"))
-    other = mixed.select("band", F.col("cid").alias("b"), F.col("root").alias("root_b"), (F.col("root") == F.col("main")).alias("is_main"))
-    pairs = minor.join(other, "band").filter("root_a <> root_b and (is_main or a > b)").select("a", "b").distinct()
-    known = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return pairs.join(known, ["a", "b"], "left_anti").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    strays = found.join(main, "band").filter("root <> main").select("main", "cid", "root", "n").distinct()
+    strays = staged(strays.withColumn("is_x", F.lit(True)), "strays")
+    members = root_of.withColumn("main", F.col("root")).join(strays.select("main").distinct(), "main", "left_semi")
+    rows = strays.unionByName(members.withColumn("is_x", F.lit(False)).select(*strays.columns))
+    blocks = lambda total: F.ceil(total / BLOCK_SHINGLES).cast("int")
+    grid = rows.groupBy("main").agg(blocks(F.sum(F.when(F.col("is_x"), F.col("n")))).alias("nx"), blocks(F.sum("n")).alias("ny"))
+    rows = rows.join(staged(grid, "grid"), "main")
+    place = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
+    cols = ["main", "bx", "by", "cid", "root", "is_x", "is_y"]
+    as_x = rows.filter("is_x").withColumn("bx", place("nx")).withColumn("by", every("ny")).withColumn("is_y", F.lit(False))
+    as_y = rows.withColumn("by", place("ny")).withColumn("bx", every("nx")).withColumn("is_y", F.lit(True)).withColumn("is_x", F.lit(False))
+    both = as_x.select(*cols).unionByName(as_y.select(*cols)).groupBy("main", "bx", "by", "cid", "root")
+    both = both.agg(F.max("is_x").alias("is_x"), F.max("is_y").alias("is_y"))
+    full = both.join(texts.withColumnRenamed("uid", "cid"), "cid").repartition("main", "bx", "by").sortWithinPartitions("main", "bx", "by", "cid")
+    return staged(full.mapInArrow(_compare_blocks(width, percent), "a long, b long"), "stray-links")
 
 
 def near_duplicate_groups(tagged: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
@@ -210,19 +299,11 @@ def near_duplicate_groups(tagged: DataFrame, *, width: int = 5, percent: int = 8
     sizes = staged(bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "band-sizes")
     shared = staged(bands.join(sizes, "band"), "shared-bands")
     texts = signed.select("uid", "text")
-    tested = staged(_star_pairs(shared), "candidates")
-    links = _verified(tested, classes, texts, width, percent)
+    links = _verified(staged(_star_pairs(shared), "candidates"), classes, texts, width, percent)
     roots = components(links)
-    while True:
-        more = staged(_open_pairs(shared, roots, tested), "more-candidates")
-        if more.isEmpty():
-            break
-        new = _verified(more, classes, texts, width, percent)
-        tested = tested.unionByName(more)
-        if new.isEmpty():
-            break
-        links = links.unionByName(new)
-        roots = components(links)
+    more = _stray_links(shared, roots, classes, texts, width, percent)
+    if not more.isEmpty():
+        roots = components(links.unionByName(more))
     rooted = member.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").select("uid", F.coalesce("root", "cid").alias("root"))
     rows = staged(signed.select("uid", "doc_id", "n_shingles").join(rooted, "uid", "left"), "rooted")
     first = rows.filter("root is not null").groupBy("root").agg(
