@@ -195,11 +195,12 @@ def vocabulary(counts: DataFrame, *, size: int = VOCABULARY, hot_words: int = HO
             at = r["step"]
         return at
 
-    hot = counts.filter(short & (step >= lowest(hot_words))).withColumn("class", step >= lowest(size)).collect()
-    classes = sorted(r["word"] for r in hot if r["class"])
+    # As Arrow columns: row objects would take several times the memory.
+    hot = counts.filter(short & (step >= lowest(hot_words))).select("word", "n", (step >= lowest(size)).alias("class")).toArrow()
+    classes = sorted(hot.filter(hot.column("class")).column("word").to_pylist())
     return Vocabulary(
         {w: i for i, w in enumerate(classes, 3)},
-        {r["word"]: r["n"] for r in hot},
+        dict(zip(hot.column("word").to_pylist(), hot.column("n").to_pylist(), strict=True)),
         sum(r["ends"] or 0 for r in rows),
         sum(r["n"] for r in rows),
         sum(r["words"] for r in rows),
