@@ -49,8 +49,8 @@ def crc32_of_id(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The rows of ``batches`` in slices of about SLICE_BYTES of ``column`` and at most SLICE_ROWS rows; a longer row is a slice of its own."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in slices of about ``size`` bytes of ``column`` and at most SLICE_ROWS rows; a longer row is a slice of its own."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -59,7 +59,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
         start = 0
         while start < batch.num_rows:
             done = ends[start - 1] if start else 0
-            stop = int(np.searchsorted(ends, done + SLICE_BYTES, side="right"))
+            stop = int(np.searchsorted(ends, done + size, side="right"))
             stop = min(max(stop, start + 1), start + SLICE_ROWS)
             yield batch.slice(start, stop - start)
             start = stop

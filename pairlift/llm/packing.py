@@ -13,8 +13,10 @@ about capacity * ln(capacity) patterns; that bounds the one table that is broadc
 
 from __future__ import annotations
 
+import os
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,57 +30,67 @@ CAPACITY = 4096
 END_ID = 1
 # Rows of one length are ranked in buckets of about this many.
 BUCKET_ROWS = 50_000
+# Text tokenised at a time: its chunks, ids and their places take many times as much memory.
+TOKEN_SLICE_BYTES = 4 << 20
 
 _PIECES = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
 _PIECES_DDL = "uid long, doc_id long, piece int, start long, length long, ids binary"
 
+# Where a word ends before marks that end the chunk: the tokenizer parts them, so a space there changes nothing.
+WORD_END = r"([\p{L}\p{N}])([.,;:!?]+)( |$)"
+
 
 class ChunkTokenizer:
-    """Token ids of texts whose tokenizer never joins what a space or line feed parts.
+    """Token ids of texts whose tokenizer drops white space and never joins what it parts, nor words and marks.
 
-    Each different chunk between those goes to the tokenizer once; the ids of later ones come
+    Each different chunk between spaces, line feeds and ends of words goes to the tokenizer once; the ids of later ones come
     from a table that is emptied when it holds more than ``keep`` chunks.
     """
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 600_000):
+        # Spark's tasks have the cores; the library's threads on top of them only cost.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        letters = "A B C D E F G H I J K L M N O P Q R S T U V W X Y Z"
+        self.lower_cases = self.tokenizer.encode(letters).ids == self.tokenizer.encode(letters.lower()).ids
         self.keep = keep
         self._clear()
 
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.ids = np.empty(1 << 16, np.uint32)
-        self.ends = [0]
+        self.ids = np.zeros(0, np.uint32)
+        self.ends = np.zeros(1, np.int64)
 
     def _rows(self, chunks: list[str]) -> np.ndarray:
         """Row of each chunk in the table; unknown ones are encoded first."""
         if len(self.known) > self.keep:
             self._clear()
         new = [c for c in chunks if c not in self.known]
-        for i in range(0, len(new), 8192):
-            part = new[i : i + 8192]
-            for chunk, coded in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                ids = coded.ids
-                end = self.ends[-1] + len(ids)
-                if end > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.empty(max(end, len(self.ids)), np.uint32)])
-                self.ids[self.ends[-1] : end] = ids
-                self.known[chunk] = len(self.ends) - 1
-                self.ends.append(end)
+        self.known.update(zip(new, range(len(self.ends) - 1, len(self.ends) - 1 + len(new)), strict=True))
+        ids, sizes = [self.ids], []
+        for i in range(0, len(new), 2048):
+            coded = [c.ids for c in self.tokenizer.encode_batch_fast(new[i : i + 2048], add_special_tokens=False)]
+            sizes += map(len, coded)
+            ids.append(np.fromiter(chain.from_iterable(coded), np.uint32))
+        self.ids = np.concatenate(ids)
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes, dtype=np.int64)])
         return np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text (uint32)."""
-        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        # The tokenizer lower-cases; doing so for A-Z first leaves fewer different chunks.
+        if self.lower_cases:
+            texts = pc.ascii_lower(texts)
+        texts = pc.replace_substring_regex(pc.replace_substring(texts, "\n", " "), WORD_END, r"\1 \2\3")
+        lists = pc.split_pattern(texts, " ")
         counts = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         coded = lists.flatten().dictionary_encode()
         rows = self._rows(coded.dictionary.to_pylist())
         row = rows[coded.indices.to_numpy(zero_copy_only=False)]
-        ends = np.asarray(self.ends, np.int64)
-        first, n = ends[row], ends[row + 1] - ends[row]
+        first, n = self.ends[row], self.ends[row + 1] - self.ends[row]
         done = np.concatenate([[0], np.cumsum(n)])
         ids = self.ids[np.arange(done[-1]) + np.repeat(first - done[:-1], n)]
         bounds = done[np.concatenate([[0], np.cumsum(counts)])]
@@ -88,7 +100,7 @@ class ChunkTokenizer:
 def _tokenize(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = ChunkTokenizer(path)
-        for part in slices(batches):
+        for part in slices(batches, size=TOKEN_SLICE_BYTES):
             out: list[tuple] = []
             encoded = tokenizer.encode(part.column("text"))
             for uid, doc_id, ids in zip(part.column("uid").to_pylist(), part.column("doc_id").to_pylist(), encoded, strict=True):

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairlift.llm.common import id_and_text, mix64, slices, staged
-from pairlift.llm.packing import ChunkTokenizer
+from pairlift.llm.packing import TOKEN_SLICE_BYTES, ChunkTokenizer
 
 LENGTH = 2048
 SHARD_RECORDS = 16_384
@@ -79,7 +79,7 @@ def _sequences(path: str, length: int, end_id: int, dtype: str):
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SEQUENCES, strict=True)], schema=_SEQUENCES)
 
-        for part in slices(batches):
+        for part in slices(batches, size=TOKEN_SLICE_BYTES):
             for doc_id, ids in zip(part.column("doc_id").to_pylist(), tokenizer.encode(part.column("text")), strict=True):
                 held.append((doc_id, np.append(ids, np.uint32(end_id)).astype(dtype)))
                 size += len(held[-1][1])
