@@ -115,8 +115,6 @@ def bh_adjust(
     value = F.least(F.lit(cap), "_run", "_tail")
     if log10:
         value = F.pow(F.lit(10.0), value)
-    if digits is not None:
-        value = F.round(value, digits)
     adjusted = best.withColumn(out, value)
     result = adjusted.where(F.col("_row").isNotNull()).select("_row.*", out)
     if hot:
@@ -126,4 +124,5 @@ def bh_adjust(
         result = result.unionByName(lookup_join(back, shared, [*by, "_p"], null_safe=by).select(*columns, out))
     if alpha is not None:
         result = result.withColumn("significant", F.col(out) <= alpha)
-    return result
+    # Rounded last: a value just above alpha must not become significant by its printed form.
+    return result if digits is None else result.withColumn(out, F.round(out, digits))

@@ -83,16 +83,20 @@ def fit_classifier(
     step: float = 0.1,
     seed: int = 12345,
     memory_mb: int = 256,
+    kind: str = "rf",
+    max_classes: int = MAX_CLASSES,
 ) -> PipelineModel:
-    """Text labels: boosted trees for two classes, an entropy forest for more."""
+    """Text labels: an entropy forest (``rf``) for any number of classes up to ``max_classes``, boosted trees (``gbt``) for two."""
     shared_dir(train.sparkSession)
-    classes = train.select(label).distinct().limit(MAX_CLASSES + 1).count()
-    if classes > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes")
+    if kind not in ("rf", "gbt"):
+        raise ValueError(f"unknown model kind {kind!r}")
+    most = 2 if kind == "gbt" else max_classes
+    if train.select(label).dropna().distinct().limit(most + 1).count() > most:
+        raise ValueError(f"{kind} takes at most {most} classes")
     shared = _tree_settings(trees, depth, bins, seed, memory_mb)
     names = StringIndexer(inputCol=label, outputCol="label__i", stringOrderType="alphabetAsc", handleInvalid="skip").fit(train)
     out = dict(labelCol="label__i", predictionCol="prediction__i")
-    if classes == 2:
+    if kind == "gbt":
         model = GBTClassifier(maxIter=trees, stepSize=step, **out, **shared)
     else:
         model = RandomForestClassifier(numTrees=trees, impurity="entropy", **out, **shared)

@@ -30,9 +30,20 @@ def write_fdr(df: DataFrame, path: str, p_col: str = "p_value", *, key: str = "k
     write_table(table, path)
 
 
-def write_predictions(df: DataFrame, path: str, features: str = "features", label: str = "label", prediction: str = "prediction") -> None:
-    """Features, label and prediction, one value per column."""
-    size = len(df.select(vector_to_array(features).alias("f")).first()["f"])
+def _vector_size(df: DataFrame, features: str) -> int:
+    """Size of a vector column: from its ML attributes, else from a row; 0 if the table has neither."""
+    known = df.schema[features].metadata.get("ml_attr", {}).get("num_attrs")
+    if known is not None:
+        return int(known)
+    row = df.select(vector_to_array(features).alias("f")).first()
+    return len(row["f"]) if row else 0
+
+
+def write_predictions(
+    df: DataFrame, path: str, features: str = "features", label: str = "label", prediction: str = "prediction", size: int | None = None
+) -> None:
+    """Features, label and prediction, one value per column; ``size``: how many features, if the column doesn't say so."""
+    size = _vector_size(df, features) if size is None else size
     cells = vector_to_array(features)
     wide = [cells[i].alias(f"f{i}") for i in range(size)]
     write_table(df.select(*wide, *[F.col(c) for c in (label, prediction) if c in df.columns]), path)

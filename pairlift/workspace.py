@@ -14,13 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a fresh folder only where none is set."""
+    """The cluster's ``spark.checkpoint.dir``; a fresh folder only where none is set and all runs on one machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
     context = spark.sparkContext
     path = context.getCheckpointDir()
     if path is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="pairlift-")
         context.setCheckpointDir(path)
     return path.rstrip("/")
@@ -38,6 +40,12 @@ def stable(df: DataFrame, label: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_workspace(spark: SparkSession) -> bool:
+    """Delete every table this application has written in the shared folder; results that read them are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/pairlift-{spark.sparkContext.applicationId}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 # Plans of these nodes alone are a scan: reading such a table twice costs a scan and no more.
 _SCAN_NODES = {"Project", "Filter", "SubqueryAlias", "View", "LogicalRelation", "Relation", "LocalRelation", "LogicalRDD"}
 

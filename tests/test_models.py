@@ -65,7 +65,7 @@ def test_classifiers(data):
     from pyspark.sql import functions as F
 
     two = data.withColumn("y", F.when(F.col("a") > 0.5, "hi").otherwise("lo"))
-    model = models.fit_classifier(two, ["a", "b"], "y", trees=3)
+    model = models.fit_classifier(two, ["a", "b"], "y", trees=3, kind="gbt")
     assert models.score(model, two).where("prediction <> y").count() < 20
     three = data.withColumn("y", F.when(F.col("a") > 0.7, "hi").when(F.col("a") > 0.3, "mid").otherwise("lo"))
     model = models.fit_classifier(three, ["a", "b"], "y", trees=10)

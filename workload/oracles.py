@@ -106,7 +106,7 @@ def oracle_sql() -> dict[str, str]:
       SELECT key, grp, round(p, 8) AS p, round(least(1.0, min(n * p / rk) OVER
         (PARTITION BY grp ORDER BY p DESC, rk DESC ROWS UNBOUNDED PRECEDING)), 8) AS fdr FROM k"""
     q["bh_fdr_flagged"] = f"""WITH {LINE_P}, a AS ({bh('lp', 'p', n='1000000', tie='key')})
-      SELECT key, round(fdr, 4) AS fdr, CAST(round(fdr, 4) <= 0.5 AS INT) AS significant FROM a"""
+      SELECT key, round(fdr, 4) AS fdr, CAST(fdr <= 0.5 AS INT) AS significant FROM a"""
     q["pvalue_transforms"] = f"""SELECT {LINE_KEY_SQL} AS key, round(-log10(l_extendedprice / 200000), 8) AS neg_log10_p,
       round(power(10, -l_tax), 8) AS p_of_tax FROM lineitem"""
 

@@ -362,7 +362,7 @@ def rf_regression(spark, sf):
 @query
 def gbt_classification(spark, sf):
     rows = t.line_features(spark, sf).drop("label")
-    model = models.fit_classifier(rows, NUMERIC, "l_linestatus", **SMALL)
+    model = models.fit_classifier(rows, NUMERIC, "l_linestatus", kind="gbt", **SMALL)
     return models.score(model, rows).select("key", "l_linestatus", "prediction")
 
 
