@@ -66,10 +66,14 @@ def _name_blocks(blocks: DataFrame) -> DataFrame:
     names = staged(_names(blocks.select("route", "block").distinct(), ["block"]).select("route", "name"), "block-names")
     owners = names.groupBy("route").agg(F.count(F.lit(1)).alias("n"), F.max("name").alias("name"))
     plain = places.join(owners.filter("n = 1").select("route", "name"), "route")
-    shared = blocks.join(owners.filter("n > 1").select("route"), "route", "left_semi")
+    cols = ["uid", "pos", "n_blocks", "name"]
+    # As a rule no two blocks share a route; then the text isn't shuffled again to find that out.
+    routes = staged(owners.filter("n > 1").select("route"), "shared-routes")
+    if routes.isEmpty():
+        return plain.select(*cols)
+    shared = blocks.join(routes, "route", "left_semi")
     shared_names = staged(_names(shared.select("route", "block").distinct(), ["block"], SHARED_FROM), "shared-block-names")
     by_block = shared.select("uid", "pos", "n_blocks", "route", "block").join(shared_names, ["route", "block"])
-    cols = ["uid", "pos", "n_blocks", "name"]
     return plain.select(*cols).unionByName(by_block.select(*cols))
 
 
