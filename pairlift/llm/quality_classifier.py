@@ -32,6 +32,8 @@ SEED = 11
 # The sample that training sees: so many labelled rows at most, of texts up to so many characters.
 SAMPLE_ROWS = 4000
 SAMPLE_CHARS = 20_000
+# Training makes the features of so many texts at a time, anew in each epoch: all of them at once would fill the driver.
+SLICE_TEXTS = 64
 THRESHOLD = 0.3
 
 
@@ -110,21 +112,22 @@ def train(texts: list[str], labels: list[int], *, buckets: int = BUCKETS, dim: i
     vectors = rng.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32)
     weights = rng.normal(0, 1, (2, dim)).astype(np.float32)
     bias = np.array([0, prior], np.float32)
-    rows = features_of(pa.array(texts, pa.string()), buckets)
-    steps, step = epochs * len(rows), 0
+    steps, step = epochs * len(texts), 0
     for _ in range(epochs):
-        for i in rng.permutation(len(rows)):
-            index, share = rows[i]
-            left = 1 - step / steps
-            step += 1
-            mean = share @ vectors[index]
-            odds = weights @ mean + bias
-            gradient = np.exp(odds - odds.max())
-            gradient /= gradient.sum()
-            gradient[labels[i]] -= 1
-            vectors[index] -= (left * VECTOR_RATE) * np.outer(share, gradient @ weights)
-            weights -= (left * RATE) * np.outer(gradient, mean)
-            bias -= (left * RATE * 0.1) * gradient
+        order = rng.permutation(len(texts))
+        for chosen in np.split(order, range(SLICE_TEXTS, len(order), SLICE_TEXTS)):
+            rows = features_of(pa.array([texts[i] for i in chosen], pa.string()), buckets)
+            for i, (index, share) in zip(chosen, rows, strict=True):
+                left = 1 - step / steps
+                step += 1
+                mean = share @ vectors[index]
+                odds = weights @ mean + bias
+                gradient = np.exp(odds - odds.max())
+                gradient /= gradient.sum()
+                gradient[labels[i]] -= 1
+                vectors[index] -= (left * VECTOR_RATE) * np.outer(share, gradient @ weights)
+                weights -= (left * RATE) * np.outer(gradient, mean)
+                bias -= (left * RATE * 0.1) * gradient
     return Model((vectors @ (weights[1] - weights[0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
