@@ -79,7 +79,7 @@ def signal_summary(queries: DataFrame, signal: DataFrame, *, bin_width: int = SI
     """Per query interval: size, covered bases, sum, mean0 (over all bases) and mean (over covered).
 
     ``signal`` (chr, start, end, value) must be free of overlaps, as a genome signal
-    track is. No query-signal pair is formed: the signal is integrated once, the
+    track is; an overlap stops the job. No query-signal pair is formed: the signal is integrated once, the
     integral is read at the distinct query ends, and a query is the difference of two
     readings. Window groups are single bins, which hold at most one row per base
     and kind whatever the number of queries; totals of whole bins carry over.
@@ -139,6 +139,10 @@ def signal_summary(queries: DataFrame, signal: DataFrame, *, bin_width: int = SI
         )
     )
     run = Window.partitionBy("chr", "_bin").orderBy("pos", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    # Pieces are cut at bin edges, so two that overlap do so inside a bin.
+    reached = F.max("stop").over(run.rowsBetween(Window.unboundedPreceding, -1))
+    overlap = (F.col("_kind") == 1) & F.coalesce(F.col("_reached") > F.col("pos"), F.lit(False))
+    stop = F.raise_error(F.concat(F.lit("signal intervals overlap at "), "chr", F.lit(":"), F.col("pos").cast("string")))
     past = F.greatest(F.lit(0), F.last("stop", ignorenulls=True).over(run) - F.col("pos"))
     readings = (
         marks.select(
@@ -147,8 +151,9 @@ def signal_summary(queries: DataFrame, signal: DataFrame, *, bin_width: int = SI
             F.coalesce(
                 F.sum("area").over(run) - past * F.last("value", ignorenulls=True).over(run), F.lit(0.0)
             ).alias("_sum"),
+            reached.alias("_reached"),
         )
-        .where(F.col("_kind") == 0)
+        .where(F.when(overlap, stop).otherwise(F.col("_kind") == 0))
         .join(carried, ["chr", "_bin"])
         .select("chr", "pos", "_cov0", "_sum0", "_cov", "_sum")
     )

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairlift.functions.scalars import composite_key
 from pairlift.operators.contacts import normalise_contacts
 from pairlift.operators.fdr import bh_adjust
+from pairlift.operators.intervals import in_region, parse_region
 from pairlift.operators.matrices import pick_samples, take_samples
 from pairlift.operators.methylation import methylation_matrix
-from pairlift.operators.models import load_model
+from pairlift.operators.models import load_model, save_model
 from pairlift.operators.ratios import observed_expected
-from pairlift.plans.rescoring import associate_region, detect, pair_features
+from pairlift.plans.rescoring import associate_region, detect, pair_features, train, training_set
 from pairlift.sinks.tables import write_contacts, write_fdr, write_matrix, write_table
 from pairlift.sources import genomics as g
 
@@ -73,36 +74,130 @@ def downsample_job(
     return chosen
 
 
-def detect_job(
+def _features(
     spark: SparkSession,
-    target: str,
     *,
-    snps: str | None = None,
-    genes: str | None = None,
-    snp_loc: str,
-    gene_loc: str,
-    contacts: str,
-    signal: str,
-    model: str,
-    covariates: str | None = None,
-    results: str | None = None,
-    region: str = "chr1",
-    kb: int = 1,
-) -> None:
-    """From matrices (or an existing result) to re-scored, adjusted pairs."""
+    snps: str | None,
+    genes: str | None,
+    snp_loc: str | None,
+    gene_loc: str | None,
+    contacts: str | Mapping[str, str] | None,
+    signal: str | None,
+    covariates: str | None,
+    results: str | None,
+    features: str | None,
+    region: str | None,
+    distance: int,
+    kb: int,
+    features_to: str | None,
+) -> DataFrame:
+    """Feature rows, from the latest stage that is given: ``features``, ``results``, or the matrices."""
+    if features:
+        return spark.read.parquet(features)
+    if not snp_loc or not gene_loc or not contacts or not signal:
+        raise ValueError("give locations, contacts and signal, or features made earlier")
+    if isinstance(contacts, str):
+        if not region:
+            raise ValueError("one contact file is of one chromosome: name it in region, or give a file per chromosome")
+        contacts = {region.partition(":")[0]: contacts}
     where_snps, where_genes = g.read_snp_locations(spark, snp_loc), g.read_gene_locations(spark, gene_loc)
     if results:
         found = g.read_results(spark, results)
+        if region:
+            chrom, low, high = parse_region(region)
+            found = found.join(in_region(where_snps, chrom, low, high).select("snp"), "snp", "left_semi")
+            found = found.join(in_region(where_genes, chrom).select("gene"), "gene", "left_semi")
     else:
         if not snps or not genes:
             raise ValueError("give both matrices or an existing result")
         found = associate_region(
             g.read_matrix(spark, snps).rows, g.read_matrix(spark, genes).rows, where_snps, where_genes,
-            g.read_covariates(spark, covariates), region=region,
+            g.read_covariates(spark, covariates), region=region, distance=distance,
         )
-    chrom = region.partition(":")[0]
-    features = pair_features(
-        found, where_snps, where_genes, g.read_sparse_contacts(spark, contacts, chrom), g.read_signal(spark, signal), kb=kb
+    table = pair_features(
+        found, where_snps, where_genes, g.read_contact_maps(spark, contacts), g.read_signal(spark, signal),
+        kb=kb, mapped=list(contacts),
+    )
+    if not features_to:
+        return table
+    table.write.mode("overwrite").parquet(features_to)
+    return spark.read.parquet(features_to)
+
+
+def detect_job(
+    spark: SparkSession,
+    target: str,
+    *,
+    model: str,
+    snps: str | None = None,
+    genes: str | None = None,
+    snp_loc: str | None = None,
+    gene_loc: str | None = None,
+    contacts: str | Mapping[str, str] | None = None,
+    signal: str | None = None,
+    covariates: str | None = None,
+    results: str | None = None,
+    features: str | None = None,
+    features_to: str | None = None,
+    region: str | None = "chr1",
+    distance: int = 1_000_000,
+    kb: int = 1,
+) -> None:
+    """From matrices, an existing result or existing features to re-scored, adjusted pairs.
+
+    ``contacts`` is the file of the region's chromosome or a file per chromosome; pairs on
+    a chromosome without one have no contact value (NULL, not 0). ``region`` limits an
+    existing result as well; None takes all chromosomes. ``features_to`` keeps the features
+    as Parquet for a later run with ``features``; those are taken whole.
+    """
+    table = _features(
+        spark, snps=snps, genes=genes, snp_loc=snp_loc, gene_loc=gene_loc, contacts=contacts, signal=signal, covariates=covariates,
+        results=results, features=features, region=region, distance=distance, kb=kb, features_to=features_to,
+    )
+    write_fdr(detect(table, load_model(model)), target, "prediction", fdr="adjusted", log10=True)
+
+
+def train_job(
+    spark: SparkSession,
+    target: str,
+    *,
+    truth: str,
+    snps: str | None = None,
+    genes: str | None = None,
+    snp_loc: str | None = None,
+    gene_loc: str | None = None,
+    contacts: str | Mapping[str, str] | None = None,
+    signal: str | None = None,
+    covariates: str | None = None,
+    results: str | None = None,
+    features: str | None = None,
+    features_to: str | None = None,
+    region: str | None = "chr1",
+    distance: int = 1_000_000,
+    kb: int = 1,
+    key_cols: Sequence[int] = (1, 2),
+    p_col: int = 5,
+    fdr_col: int = 6,
+    threshold: float = 0.01,
+    positives: int = 10_000,
+    negatives: int = 10_000,
+    k: int = 10,
+    seed: int = 12345,
+    **settings,
+) -> None:
+    """Train from files: ``target`` gets ``model``, ``importance``, ``validation`` and, for k > 1, ``folds``.
+
+    The stages before are given as for detect_job; ``settings`` go to the boosted trees.
+    """
+    table = _features(
+        spark, snps=snps, genes=genes, snp_loc=snp_loc, gene_loc=gene_loc, contacts=contacts, signal=signal, covariates=covariates,
+        results=results, features=features, region=region, distance=distance, kb=kb, features_to=features_to,
     )
-    out = detect(features, load_model(model))
-    write_fdr(out, target, "prediction", fdr="adjusted", log10=True)
+    answers = g.read_truth(spark, truth, key_cols=key_cols, p_col=p_col, fdr_col=fdr_col)
+    rows = training_set(table, answers, threshold=threshold, positives=positives, negatives=negatives, seed=seed)
+    trained = train(rows, k=k, seed=seed, **settings)
+    save_model(trained.model, f"{target}/model")
+    write_table(trained.importance, f"{target}/importance", header=True)
+    write_table(trained.validation, f"{target}/validation", header=True)
+    if trained.cross_validation is not None:
+        write_table(trained.cross_validation, f"{target}/folds", header=True)

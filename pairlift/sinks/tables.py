@@ -8,6 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from pairlift.operators.annotate import gene_bed, pair_bed, snp_bed
+from pairlift.workspace import written
 
 
 def write_table(df: DataFrame, path: str, *, header: bool = False, partition_by: Sequence[str] = ()) -> None:
@@ -18,6 +19,7 @@ def write_table(df: DataFrame, path: str, *, header: bool = False, partition_by:
 
 def write_beds(located: DataFrame, path: str) -> None:
     """Pair spans, SNP points and gene intervals below ``path``."""
+    located = written(located, "located")
     for name, view in (("pairs", pair_bed), ("snps", snp_bed), ("genes", gene_bed)):
         write_table(view(located), f"{path}/{name}")
 
@@ -55,9 +57,15 @@ def write_by_chromosome(df: DataFrame, path: str) -> None:
 
 
 def write_matrix(rows: DataFrame, samples: Sequence[str], path: str) -> None:
-    """(id, values) back to one column per sample."""
-    wide = [F.get("values", F.lit(i)).alias(s) for i, s in enumerate(samples)]
-    write_table(rows.select("id", *wide), path, header=True)
+    """(id, values) back to a header and one cell per sample, whatever their number.
+
+    The row is one text column named by the header line, as columns are limited in number.
+    """
+    cells = F.transform("values", lambda v: F.coalesce(v.cast("string"), F.lit("NA")))
+    line = F.concat_ws("\t", F.coalesce(F.col("id").cast("string"), F.lit("NA")), cells)
+    rows.select(line.alias("\t".join(["id", *samples]))).write.mode("overwrite").csv(
+        path, sep="\x01", quote="", header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
 
 
 def write_contacts(contacts: DataFrame, path: str) -> None:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Mapping, Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -20,18 +22,41 @@ class Matrix(NamedTuple):
 
 
 def read_matrix(spark: SparkSession, path: str, sep: str = "\t") -> Matrix:
-    """Wide table: a header, an id column, one column per sample; NA is missing."""
-    names = spark.read.csv(path, sep=sep, header=True, inferSchema=False).columns
-    fields = ", ".join(["id string", *[f"`v{i}` double" for i in range(len(names) - 1)]])
-    wide = read_table(spark, path, fields, header=True, sep=sep).select(
-        "id", F.array(*[F.col(f"v{i}") for i in range(len(names) - 1)]).alias("values")
+    """Wide table of any width: a header, an id column, one column per sample; NA or nothing is missing.
+
+    Every part file begins with the header. A bad cell or a row of another length stops the job.
+    """
+    head = _header(spark, path)
+    names = head.split(sep)
+    return Matrix(_matrix_rows(spark.read.text(path), head, len(names), sep).select("id", "values"), names[1:])
+
+
+def _header(spark: SparkSession, path: str) -> str:
+    first = spark.read.text(path).where(F.col("value") != "").first()
+    if first is None:
+        raise ValueError(f"no header in {path}")
+    return first["value"]
+
+
+def _matrix_rows(lines: DataFrame, head: str, width: int, sep: str) -> DataFrame:
+    """``lines`` but headers, with the cells as ``id`` and one array, so that the width is no number of columns."""
+    cells = F.split("value", re.escape(sep), -1)
+    number = lambda c: F.when(~c.isin("", "NA"), c.cast("double"))
+    bad = F.raise_error(F.concat(F.lit(f"a matrix row has not {width} cells: "), F.substring("value", 1, 40)))
+    return lines.where(~F.col("value").isin("", head)).withColumns(
+        {
+            "id": F.element_at(cells, 1),
+            "values": F.when(F.size(cells) == width, F.transform(F.slice(cells, 2, width - 1), number)).otherwise(bad),
+        }
     )
-    return Matrix(wide, names[1:])
 
 
-def read_covariates(spark: SparkSession, path: str | None) -> DataFrame | None:
-    """Covariate rows, or none for an intercept-only model."""
-    return None if path is None else read_matrix(spark, path).rows
+def read_covariates(spark: SparkSession, path: str | None, sep: str = "\t") -> DataFrame | None:
+    """Covariate rows (line, id, values), ``line`` being their order in the file; none for an intercept-only model."""
+    if path is None:
+        return None
+    head = _header(spark, path)
+    return _matrix_rows(numbered_lines(spark, path), head, len(head.split(sep)), sep).select("line", "id", "values")
 
 
 def read_snp_locations(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
@@ -99,6 +124,13 @@ def read_sparse_contacts(spark: SparkSession, path: str, chrom: str) -> DataFram
     )
 
 
+def read_contact_maps(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
+    """The sparse contact files of several chromosomes as one table."""
+    if not paths:
+        raise ValueError("give the contact file of one chromosome at least")
+    return reduce(DataFrame.unionByName, [read_sparse_contacts(spark, path, chrom) for chrom, path in paths.items()])
+
+
 def read_dense_contacts(spark: SparkSession, path: str, chrom: str) -> DataFrame:
     """(chr, bin1, bin2, value) of the positive cells of a whitespace matrix, plain or gzip."""
     rows = numbered_lines(spark, path).select("line", F.posexplode(F.split(F.trim("value"), r"\s+")).alias("bin2", "cell"))

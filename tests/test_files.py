@@ -168,3 +168,17 @@ def test_partitioned_writers(spark, rows, tmp_path):
     picked = read.where(F.col("chr") == "cis")
     assert rows(picked, "snp") == [("a",)]
     assert "PartitionFilters: [isnotnull(chr" in picked._jdf.queryExecution().executedPlan().toString()
+
+
+def test_matrix_of_any_width(spark, rows, tmp_path):
+    n = 21_000
+    path = put(tmp_path / "wide", "\t".join(["id", *map(str, range(n))]) + "\n" + "\t".join(["r", "NA", *["1.5"] * (n - 1)]) + "\n")
+    matrix = g.read_matrix(spark, path)
+    assert len(matrix.samples) == n
+    sink.write_matrix(matrix.rows, matrix.samples, str(tmp_path / "again"))
+    again = g.read_matrix(spark, str(tmp_path / "again"))
+    assert again.samples == matrix.samples
+    assert again.rows.collect()[0]["values"] == [None, *[1.5] * (n - 1)]
+    short = put(tmp_path / "short", "id\ta\tb\nr\t1\n")
+    with pytest.raises(Exception, match="not 3 cells"):
+        g.read_matrix(spark, short).rows.collect()

@@ -161,3 +161,20 @@ def test_first_per_key_does_not_depend_on_layout(spark, rows):
     for k, p, i in data:
         best[k] = min(best.get(k, (p, i)), (p, i))
     assert a == b == sorted((k, p, i) for k, (p, i) in best.items())
+
+
+def test_overlapping_signal_stops(spark):
+    queries = spark.createDataFrame([("c", 0, 45)], "chr string, start long, end long")
+    schema = "chr string, start long, end long, value double"
+    with pytest.raises(Exception, match="signal intervals overlap"):
+        signal_summary(queries, spark.createDataFrame([("c", 0, 50, 1.0), ("c", 20, 40, 2.0)], schema)).collect()
+    touching = spark.createDataFrame([("c", 0, 20, 1.0), ("c", 20, 40, 2.0)], schema)
+    assert signal_summary(queries, touching).first()["covered"] == 40
+
+
+def test_no_contact_map_is_no_zero(spark, rows):
+    from pairlift.operators.contacts import contact_lookup
+
+    spans = spark.createDataFrame([("c1", 0, 9000), ("c2", 0, 9000)], "chr string, start long, end long")
+    contacts = spark.createDataFrame([("c1", 5, 9, 1.0)], "chr string, bin1 long, bin2 long, value double")
+    assert rows(contact_lookup(spans, contacts, mapped=["c1"]), "chr", "hic") == [("c1", 0.0), ("c2", None)]

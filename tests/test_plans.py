@@ -105,3 +105,31 @@ def test_region_limits_the_variants(spark, cohort):
         region="chr1:100000-200000", distance=60_000,
     )
     assert {r["snp"] for r in out.select("snp").distinct().collect()} == {f"s{i}" for i in range(10, 20)}
+
+
+def test_train_job_resumes_and_maps_by_chromosome(spark, rows, cohort, parts, tmp_path):
+    results, features = parts
+    p = paths(cohort[0])
+    p.pop("snps"), p.pop("genes")
+    kept = results.select("snp", "gene", "beta", "t_stat", "p_value", "fdr")
+    kept.write.csv(str(tmp_path / "results"), sep="\t", header=True)
+    kept.write.csv(str(tmp_path / "truth"), sep="\t")
+    how = dict(truth=str(tmp_path / "truth"), k=1, trees=5, depth=3, step=0.3)
+    jobs.train_job(spark, str(tmp_path / "a"), results=str(tmp_path / "results"), features_to=str(tmp_path / "features"), **p, **how)
+    jobs.train_job(spark, str(tmp_path / "b"), features=str(tmp_path / "features"), **how)
+    assert rows(spark.read.parquet(str(tmp_path / "features")), "key") == rows(features, "key")
+    one, two = (models.score(models.load_model(str(tmp_path / f / "model")), features) for f in "ab")
+    assert rows(one, "key", "prediction") == rows(two, "key", "prediction")
+    # A map of another chromosome measures nothing here.
+    p["contacts"] = {"chr2": p["contacts"]}
+    jobs.detect_job(
+        spark, str(tmp_path / "out"), model=str(tmp_path / "a" / "model"), results=str(tmp_path / "results"),
+        region=None, features_to=str(tmp_path / "other"), **p,
+    )
+    other = spark.read.parquet(str(tmp_path / "other"))
+    assert other.count() == features.count() and other.where("hic is not null").count() == 0
+    jobs.detect_job(
+        spark, str(tmp_path / "none"), model=str(tmp_path / "a" / "model"), results=str(tmp_path / "results"),
+        region="chr2", features_to=str(tmp_path / "empty"), **p,
+    )
+    assert spark.read.parquet(str(tmp_path / "empty")).count() == 0
