@@ -43,12 +43,10 @@ def _matrix_rows(lines: DataFrame, head: str, width: int, sep: str) -> DataFrame
     cells = F.split("value", re.escape(sep), -1)
     number = lambda c: F.when(~c.isin("", "NA"), c.cast("double"))
     bad = F.raise_error(F.concat(F.lit(f"a matrix row has not {width} cells: "), F.substring("value", 1, 40)))
-    return lines.where(~F.col("value").isin("", head)).withColumns(
-        {
-            "id": F.element_at(cells, 1),
-            "values": F.when(F.size(cells) == width, F.transform(F.slice(cells, 2, width - 1), number)).otherwise(bad),
-        }
-    )
+    skipped = F.col("value").isin("", head)
+    values = F.when(F.size(cells) == width, F.transform(F.slice(cells, 2, width - 1), number)).otherwise(bad)
+    # A later filter may be evaluated before this one, so skipped lines are not parsed either.
+    return lines.where(~skipped).withColumns({"id": F.element_at(cells, 1), "values": F.when(~skipped, values)})
 
 
 def read_covariates(spark: SparkSession, path: str | None, sep: str = "\t") -> DataFrame | None:
