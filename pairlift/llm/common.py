@@ -85,6 +85,7 @@ class Words:
         coded = values.dictionary_encode()
         self.ids = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         self.vocabulary = coded.dictionary
+        self._hashes = None
         self.counts = counts
         self.starts = np.concatenate([[0], np.cumsum(counts)])
 
@@ -94,10 +95,12 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each vocabulary word."""
-        from xxhash import xxh3_64_intdigest
+        if self._hashes is None:
+            from xxhash import xxh3_64_intdigest
 
-        words = self.vocabulary.cast(pa.binary()).to_pylist()
-        return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
+            words = self.vocabulary.cast(pa.binary()).to_pylist()
+            self._hashes = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
+        return self._hashes
 
     def sums(self, of_ids: np.ndarray) -> np.ndarray:
         """Sum of a number per word over each text."""
