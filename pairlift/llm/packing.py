@@ -16,6 +16,7 @@ from __future__ import annotations
 import os
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -97,9 +98,15 @@ class ChunkTokenizer:
         return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
+@lru_cache(maxsize=1)
+def worker_tokenizer(path: str) -> ChunkTokenizer:
+    """One for each Python worker, kept from task to task: the table of chunks doesn't begin empty in every task."""
+    return ChunkTokenizer(path)
+
+
 def _tokenize(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = ChunkTokenizer(path)
+        tokenizer = worker_tokenizer(path)
         for part in slices(batches, size=TOKEN_SLICE_BYTES):
             out: list[tuple] = []
             encoded = tokenizer.encode(part.column("text"))

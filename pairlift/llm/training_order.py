@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairlift.llm.common import id_and_text, mix64, slices, staged
-from pairlift.llm.packing import TOKEN_SLICE_BYTES, ChunkTokenizer
+from pairlift.llm.packing import TOKEN_SLICE_BYTES, worker_tokenizer
 
 LENGTH = 2048
 SHARD_RECORDS = 16_384
@@ -53,7 +53,7 @@ def feistel(index: np.ndarray, n: int, key: int) -> np.ndarray:
 
 def _sequences(path: str, length: int, end_id: int, dtype: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = ChunkTokenizer(path)
+        tokenizer = worker_tokenizer(path)
         block = TaskContext.get().partitionId()
         held: list[tuple[int | None, np.ndarray]] = []
         size = place = 0
