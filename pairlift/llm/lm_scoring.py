@@ -1,19 +1,24 @@
 """Language-model scores with a log-frequency Bloom filter.
 
-The model is a word bigram over a bounded vocabulary: the most frequent words, the end of a
-text, and one class for all other words. Counts of pairs are quantised on a log scale, and
-the filter holds (pair, 1), (pair, 2), ... up to the pair's level. A lookup probes the levels
-in turn until one is missing. The probability of a word after another one is the Dirichlet
-mixture of the pair's count with the word's unigram probability; the mass that false
-positives are expected to add is part of the denominator. A word outside the vocabulary has
-its class's probability times its own unigram share of the class.
+The model is a bigram over all words, the start and the end of a text. Counts of hashed pairs
+are quantised on a log scale, and the filter holds (pair, 1), (pair, 2), ... up to the pair's
+level. A lookup probes the levels in turn until one is missing. The probability of a word
+after another one is the Dirichlet mixture of the pair's count with the word's unigram
+probability; a level stands for the mean count of the corpus's pairs that have it, never for
+more than the word's own count. The mass that false positives are expected to add is part of
+the denominator, and hashes are added with the logarithm of the number of words, so that it
+doesn't grow with them.
+
+The filter is a table of segments, as many as the tokens need at SEGMENT_BYTES each. Nobody
+holds all of it: pairs of the texts, packed by segment, are sorted behind the segment's row and
+probed as they stream by. Only where ``size`` is given is the model a bounded one, whose filter
+is broadcast: bigrams over the ``size`` most frequent words and one class for all others,
+with a word's own unigram share of the class. V such words give at most (V + 3)^2 pairs, and
+N tokens at most pairs * (1 + log(N / pairs) / log(base)) entries: for V = 2048 and 2 * 10^13
+tokens (about 100 TB of text) 39 million levels a million pairs, 300 MB in all.
 
 Unigram counts of all words are exact. They stay in a table: the most frequent ones, at most
 ``hot_words`` short words, go to the tasks, all others are joined by word.
-
-With V words in the vocabulary there are at most (V + 3)^2 pairs. N tokens give them at most
-pairs * (1 + log(N / pairs) / log(base)) entries: for V = 2048 and 2 * 10^13 tokens (about
-100 TB of text) 39 million levels a million pairs, 300 MB in all, which bounds what is broadcast.
 """
 
 from __future__ import annotations
@@ -26,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from pairlift.llm.common import Words, crc32_of_id, id_and_text, mix64, slices, staged
+from pairlift.session import shuffle_partitions
 
-VOCABULARY = 2048
 HOT_WORDS = 400_000
 HOT_WORD_BYTES = 64
 BASE = 1.5
@@ -37,6 +42,11 @@ SEGMENT_BYTES = 1 << 20
 DIRICHLET = 300.0
 # A task hands on its pair counts when it holds so many different pairs.
 PAIRS_HELD = 2_000_000
+# Words for which HASHES hashes are enough; each doubling takes one more.
+WORDS_PER_HASHES = 2048
+# Segments for each shuffle partition, at least: partitions get about as many each.
+SEGMENTS_EACH = 8
+START, END = np.uint64(1), np.uint64(2)
 
 
 def level_of(count: np.ndarray) -> np.ndarray:
@@ -50,21 +60,22 @@ def count_of(level: np.ndarray) -> np.ndarray:
 
 
 class LogFrequencyFilter:
-    """Levels of keys in a Bloom filter of fixed-size segments; a key and all its levels are in one segment."""
+    """Levels of keys in a Bloom filter of segments of one size; a key and all its levels are in one segment."""
 
-    def __init__(self, segments: np.ndarray):
+    def __init__(self, segments: np.ndarray, hashes: int = HASHES):
         self.segments = segments
+        self.hashes = hashes
 
     @staticmethod
     def segment_of(keys: np.ndarray, n_segments: int) -> np.ndarray:
         return (mix64(keys ^ np.uint64(0x5BF03635)) % np.uint64(n_segments)).astype(np.int64)
 
     @staticmethod
-    def _bits(keys: np.ndarray, level: int, bits: int) -> Iterator[np.ndarray]:
+    def _bits(keys: np.ndarray, level: int, bits: int, hashes: int = HASHES) -> Iterator[np.ndarray]:
         with np.errstate(over="ignore"):
             first = mix64(keys * np.uint64(0x9E3779B97F4A7C15) + np.uint64(level))
             step = mix64(first ^ np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
-            for k in range(HASHES):
+            for k in range(hashes):
                 yield ((first + np.uint64(k) * step) >> np.uint64(16)).astype(np.int64) % bits
 
     @classmethod
@@ -74,6 +85,16 @@ class LogFrequencyFilter:
             for bit in cls._bits(keys[levels >= level], level, 8 * len(segment)):
                 np.bitwise_or.at(segment, bit >> 3, (1 << (bit & 7)).astype(np.uint8))
 
+    @classmethod
+    def segment(cls, keys: np.ndarray, levels: np.ndarray, hashes: int) -> np.ndarray:
+        """A segment of the size that these keys and levels need."""
+        bits = 8 * max(64, int(np.ceil(levels.sum() * hashes * BITS_PER_ENTRY / HASHES / 8)))
+        marks = np.zeros(bits, bool)
+        for level in range(1, int(levels.max(initial=0)) + 1):
+            for bit in cls._bits(keys[levels >= level], level, bits, hashes):
+                marks[bit] = True
+        return np.packbits(marks, bitorder="little")
+
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The level of each key: as many probes as it takes until one misses."""
         out = np.zeros(len(keys), np.int64)
@@ -84,7 +105,7 @@ class LogFrequencyFilter:
         level = 1
         while len(left):
             alive = np.ones(len(left), bool)
-            for bit in self._bits(keys[left], level, 8 * self.segments.shape[1]):
+            for bit in self._bits(keys[left], level, 8 * self.segments.shape[1], self.hashes):
                 alive &= (self.segments[where[left], bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
             left = left[alive]
             out[left] = level
@@ -177,56 +198,55 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return staged(counts.groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
 
 
-def vocabulary(counts: DataFrame, *, size: int = VOCABULARY, hot_words: int = HOT_WORDS) -> Vocabulary:
-    """The most frequent words, as many as whole steps of the count scale allow, and the totals."""
+def vocabulary(counts: DataFrame, *, size: int = 0, hot_words: int = HOT_WORDS) -> Vocabulary:
+    """The ``size`` most frequent short words, equal counts by word, hot words by whole steps of the count scale, and the totals."""
     step = F.floor(F.log2("n") * 8).cast("int")
     short = (F.octet_length("word") <= HOT_WORD_BYTES) & (F.col("word") != "")
     steps = counts.groupBy(step.alias("step")).agg(
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("words"), F.count(F.when(short, 1)).alias("short"), F.sum(F.when(F.col("word") == "", F.col("n"))).alias("ends")
     )
     rows = sorted(steps.collect(), key=lambda r: -r["step"])  # at most 8 * 64 rows
-
-    def lowest(most: int) -> int:
-        taken, at = 0, 1 << 10
-        for r in rows:
-            taken += r["short"]
-            if taken > most:
-                break
-            at = r["step"]
-        return at
-
+    taken, lowest = 0, 1 << 10
+    for r in rows:
+        taken += r["short"]
+        if taken > hot_words:
+            break
+        lowest = r["step"]
     # As Arrow columns: row objects would take several times the memory.
-    hot = counts.filter(short & (step >= lowest(hot_words))).select("word", "n", (step >= lowest(size)).alias("class")).toArrow()
-    classes = sorted(hot.filter(hot.column("class")).column("word").to_pylist())
+    hot = counts.filter(short & (step >= lowest)).select("word", "n").toArrow()
+    top = {r["word"]: r["n"] for r in counts.filter(short).orderBy(F.desc("n"), "word").limit(size).collect()} if size else {}
     return Vocabulary(
-        {w: i for i, w in enumerate(classes, 3)},
-        dict(zip(hot.column("word").to_pylist(), hot.column("n").to_pylist(), strict=True)),
+        {w: i for i, w in enumerate(sorted(top), 3)},
+        dict(zip(hot.column("word").to_pylist(), hot.column("n").to_pylist(), strict=True)) | top,
         sum(r["ends"] or 0 for r in rows),
         sum(r["n"] for r in rows),
         sum(r["words"] for r in rows),
     )
 
 
+def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and the sums of their numbers."""
+    keys, where = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+    n = np.concatenate([n for _, n in held])
+    return keys, np.bincount(where, n).astype(n.dtype)
+
+
 def _count_pairs(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def summed() -> tuple[np.ndarray, np.ndarray]:
-            keys, where = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            return keys, np.bincount(where, np.concatenate([n for _, n in held])).astype(np.int64)
-
         for part in slices(batches):
             ids, starts = known.class_ids(Words(part.column("text"), lower=True))
             pairs = ids[:-1] * known.size + ids[1:]
             keys, n = np.unique(np.delete(pairs, starts[1:-1] - 1), return_counts=True)
             held.append((keys, n))
             if sum(len(k) for k, _ in held) > PAIRS_HELD:
-                held = [summed()]
+                held = [_summed(held)]
                 if len(held[0][0]) > PAIRS_HELD // 2:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in held.pop()], names=["pair", "n"])
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in summed()], names=["pair", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in _summed(held)], names=["pair", "n"])
 
     return run
 
@@ -260,8 +280,8 @@ def _segments(n_segments: int):
     return run
 
 
-def fit(texts: DataFrame, counts: DataFrame, *, size: int = VOCABULARY, hot_words: int = HOT_WORDS) -> Model:
-    """The model of ``texts`` (text), whose ``word_counts`` are ``counts``. Tasks fill segments of the filter; the driver joins them."""
+def fit(texts: DataFrame, counts: DataFrame, *, size: int, hot_words: int = HOT_WORDS) -> Model:
+    """The bounded model of ``texts`` (text), whose ``word_counts`` are ``counts``. Tasks fill segments of the filter; the driver joins them."""
     known = vocabulary(counts, size=size, hot_words=hot_words)
     spark = texts.sparkSession
     pairs = texts.select("text").mapInArrow(_count_pairs(spark.sparkContext.broadcast(known)), "pair long, n long")
@@ -328,18 +348,303 @@ def _score(shared):
     return run
 
 
-def score(docs: DataFrame, *, size: int = VOCABULARY, hot_words: int = HOT_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def word_pairs(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each word and end: hash of the pair with what is before it, number of its text, and its word (-1: an end)."""
+    n = len(words.counts)
+    starts = words.starts[:-1] + np.arange(n)
+    word = np.full(len(words.ids) + n, -1)
+    inside = np.ones(len(word), bool)
+    inside[starts + words.counts] = False
+    word[inside] = words.ids
+    after = np.full(len(word), END)
+    after[inside] = words.hashes()[words.ids] if len(words.ids) else 0
+    before = np.roll(after, 1)
+    before[starts] = START
+    with np.errstate(over="ignore"):
+        keys = mix64(mix64(before) * np.uint64(0x9E3779B97F4A7C15) + after)
+    return keys, np.repeat(np.arange(n), words.counts + 1), word
+
+
+def segment_of(keys: np.ndarray, n_segments: int) -> np.ndarray:
+    """Segments follow the order of keys; at most 2^31 of them."""
+    return (((keys >> np.uint64(32)) * np.uint64(n_segments)) >> np.uint64(32)).astype(np.int64)
+
+
+def _pair_counts(n_segments: int):
+    """(segment, pair, n) of each task, keys as signed numbers."""
+
+    def rows(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(segment_of(keys, n_segments)), pa.array(keys.view(np.int64)), pa.array(n, pa.int64())], names=["segment", "pair", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for part in slices(batches):
+            held.append(np.unique(word_pairs(Words(part.column("text"), lower=True))[0], return_counts=True))
+            if sum(len(k) for k, _ in held) > PAIRS_HELD:
+                held = [_summed(held)]
+                if len(held[0][0]) > PAIRS_HELD // 2:
+                    yield rows(*held.pop())
+        if held:
+            yield rows(*_summed(held))
+
+    return run
+
+
+_SEGMENTS_DDL = "segment long, bits binary, pairs array<long>, total array<long>"
+_SEGMENTS = pa.schema([("segment", pa.int64()), ("bits", pa.binary()), ("pairs", pa.list_(pa.int64())), ("total", pa.list_(pa.int64()))])
+
+
+def _build_segments(hashes: int):
+    """A row for each segment, with the number of pairs and the sum of their counts at each level; rows (segment, pair, n) come sorted by segment."""
+
+    def row(segment: int, held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        levels = level_of(n)
+        bits = LogFrequencyFilter.segment(keys, levels, hashes)
+        values = [[segment], [bits.tobytes()], [np.bincount(levels).tolist()], [np.bincount(levels, n).astype(np.int64).tolist()]]
+        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, _SEGMENTS, strict=True)], schema=_SEGMENTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            segment = batch.column("segment").to_numpy()
+            keys = batch.column("pair").to_numpy().view(np.uint64)
+            n = batch.column("n").to_numpy()
+            bounds = np.flatnonzero(np.diff(segment)) + 1 if len(segment) else []
+            for a, b in zip([0, *bounds], [*bounds, len(segment)], strict=True):
+                if a == b:
+                    continue
+                if held and now != segment[a]:
+                    yield row(now, held)
+                    held = []
+                now = int(segment[a])
+                held.append((keys[a:b].copy(), n[a:b].copy()))
+        if held:
+            yield row(now, held)
+
+    return run
+
+
+@dataclass
+class HashedModel:
+    """The unbounded model: ``segments`` is a table; ``means`` the mean count of each level's pairs."""
+
+    vocabulary: Vocabulary
+    segments: DataFrame
+    means: np.ndarray
+    n_segments: int
+    hashes: int
+
+    @property
+    def false_mass(self) -> float:
+        """The count that false positives are expected to add to a word's followers."""
+        return 2.0**-self.hashes * self.vocabulary.distinct
+
+
+def fit_hashed(texts: DataFrame, counts: DataFrame, *, hot_words: int = HOT_WORDS) -> HashedModel:
+    """The model of all word pairs of ``texts`` (text), whose ``word_counts`` are ``counts``; its filter is a written table."""
+    known = vocabulary(counts, hot_words=hot_words)
+    hashes = HASHES + max(0, int(np.ceil(np.log2(max(known.distinct, 1) / WORDS_PER_HASHES))))
+    # A pair's level is at most its count, so there are at most as many entries as tokens.
+    bound = known.tokens * hashes * BITS_PER_ENTRY / HASHES / 8
+    partitions = shuffle_partitions(texts.sparkSession)
+    n_segments = max(SEGMENTS_EACH * partitions, int(np.ceil(bound / SEGMENT_BYTES)))
+    pairs = texts.select("text").mapInArrow(_pair_counts(n_segments), "segment long, pair long, n long")
+    # One shuffle: rows that share a segment share their pairs too.
+    pairs = pairs.repartition(partitions, "segment").groupBy("segment", "pair").agg(F.sum("n").alias("n"))
+    segments = staged(pairs.sortWithinPartitions("segment").mapInArrow(_build_segments(hashes), _SEGMENTS_DDL), "segments")
+    levels = segments.select(F.posexplode(F.arrays_zip("pairs", "total")).alias("level", "x"))
+    rows = levels.groupBy("level").agg(F.sum("x.pairs").alias("pairs"), F.sum("x.total").alias("total")).collect()  # a row for each level
+    means = np.zeros(1 + max((r["level"] for r in rows), default=0))
+    for r in rows:
+        means[r["level"]] = r["total"] / max(r["pairs"], 1)
+    return HashedModel(known, segments.select("segment", "bits"), means, n_segments, hashes)
+
+
+_ASKED_DDL = "segment long, bits binary, first long, uids binary, keys binary, counts binary"
+_ASKED = pa.schema([("segment", pa.int64()), ("bits", pa.binary()), ("first", pa.int64()), ("uids", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary())])
+
+
+def _ask(uids: np.ndarray, keys: np.ndarray, counts: np.ndarray, n_segments: int) -> pa.RecordBatch:
+    """A row for each segment that has keys: the uids less the first one, the keys, and the counts of the later words, packed."""
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order].astype("<f4")
+    first = int(uids.min()) if len(uids) else 0
+    offsets = (uids - first)[order]
+    offsets = offsets.astype("<u2" if offsets.max(initial=0) < 1 << 16 else "<i8")
+    segment = segment_of(keys, n_segments)
+    bounds = np.flatnonzero(np.diff(segment)) + 1
+    cuts = list(zip([0, *bounds], [*bounds, len(keys)], strict=True)) if len(keys) else []
+    columns = [
+        [int(segment[a]) for a, _ in cuts], [None] * len(cuts), [first] * len(cuts),
+        *([x[a:b].tobytes() for a, b in cuts] for x in (offsets, keys, counts)),
+    ]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ASKED, strict=True)], schema=_ASKED)
+
+
+def _hot_pairs(shared, n_segments: int):
+    """What to ask the filter about words whose counts the tasks have, and ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for part in slices(batches):
+            words = Words(part.column("text"), lower=True)
+            keys, text, word = word_pairs(words)
+            of_word = np.fromiter((known.counts.get(w, -1) for w in words.vocabulary.to_pylist()), np.int64, len(words.vocabulary))
+            count = np.append(of_word, known.ends)[word]
+            # Pairs of words that were never seen can't be in the filter; -1: not hot.
+            here = np.flatnonzero(count > 0)
+            yield _ask(part.column("uid").to_numpy()[text[here]], keys[here], count[here], n_segments)
+
+    return run
+
+
+def _cold_pairs(n_segments: int):
+    """The same about the words that were joined: rows (uid, n, keys)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "keys"):
+            packed = part.column("keys").to_pylist()
+            times = np.fromiter((len(k) // 8 for k in packed), np.int64, len(packed))
+            keys = np.frombuffer(b"".join(packed), np.uint64)
+            yield _ask(np.repeat(part.column("uid").to_numpy(), times), keys, np.repeat(part.column("n").to_numpy(), times), n_segments)
+
+    return run
+
+
+def _probe(means: np.ndarray, hashes: int, per_count: float):
+    """(uid, log): what the pairs found in the filter add to the log10 probability; rows come sorted by segment, its bits first.
+
+    ``per_count`` is the Dirichlet count of a word less half of its smoothing: a word seen n times has per_count * (n + 0.5).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, bits, held = None, None, []
+        for batch in batches:
+            segment = batch.column("segment").to_numpy()
+            has_bits = batch.column("bits").is_valid().to_numpy(zero_copy_only=False)
+            bounds = np.flatnonzero((np.diff(segment) != 0) | has_bits[:-1]) + 1 if len(segment) else []
+            for a, b in zip([0, *bounds], [*bounds, len(segment)], strict=True):
+                if a == b:
+                    continue
+                if has_bits[a]:
+                    now, bits = int(segment[a]), LogFrequencyFilter(np.frombuffer(batch.column("bits")[a].as_py(), np.uint8)[None, :], hashes)
+                    continue
+                if now != segment[a]:
+                    continue
+                keys, n, uids = [], [], []
+                for i in range(a, b):
+                    keys.append(np.frombuffer(batch.column("keys")[i].as_py(), np.uint64))
+                    n.append(np.frombuffer(batch.column("counts")[i].as_py(), "<f4"))
+                    packed = batch.column("uids")[i].as_py()
+                    uids.append(np.frombuffer(packed, "<u2" if len(packed) == 2 * len(keys[-1]) else "<i8").astype(np.int64) + batch.column("first")[i].as_py())
+                keys, where = np.unique(np.concatenate(keys), return_inverse=True)
+                found = means[np.minimum(bits.levels(keys), len(means) - 1)][where]
+                n, uids = np.concatenate(n).astype(np.float64), np.concatenate(uids)
+                held.append((uids, np.log10(1 + np.minimum(found, n) / (per_count * (n + 0.5)))))
+                if sum(len(u) for u, _ in held) > PAIRS_HELD:
+                    held = [_summed(held)]
+                    if len(held[0][0]) > PAIRS_HELD // 2:
+                        yield pa.RecordBatch.from_arrays(list(map(pa.array, held.pop())), names=["uid", "log"])
+        if held:
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, _summed(held))), names=["uid", "log"])
+
+    return run
+
+
+_WORDS_DDL = "uid long, doc_id long, n_tokens long, known long, base double, contexts double, rest array<string>, times array<long>, keys array<binary>"
+_WORDS = pa.schema(
+    [("uid", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("contexts", pa.float64()),
+     ("rest", pa.list_(pa.string())), ("times", pa.list_(pa.int64())), ("keys", pa.list_(pa.binary()))]
+)
+
+
+def _score_words(shared, added: float):
+    """Unigram scores and the logarithms of the contexts' totals; words that are not hot come with their pairs, for the join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for part in slices(batches):
+            words = Words(part.column("text"), lower=True)
+            n = part.num_rows
+            vocabulary_ = words.vocabulary.to_pylist()
+            count = np.fromiter((known.counts.get(w, -1) for w in vocabulary_), np.int64, len(vocabulary_))
+            hot = np.maximum(count, 0)
+            base = words.sums(np.where(count >= 0, known.log_base(hot), 0.0)[words.ids]) + known.log_base(known.ends)
+            contexts = words.sums(np.where(count >= 0, np.log10(hot + added), 0.0)[words.ids]) + np.log10(known.ends + added)
+            pair_keys, text, word = word_pairs(words)
+            cold = np.flatnonzero((word >= 0) & (np.append(count, 0)[word] < 0))
+            cold = cold[np.lexsort((word[cold], text[cold]))]
+            pairs, first, times = np.unique(text[cold] * len(vocabulary_) + word[cold], return_index=True, return_counts=True)
+            in_text, cold_word = np.divmod(pairs, max(len(vocabulary_), 1))
+            packed = pair_keys[cold].tobytes()
+            offsets = pa.array(np.searchsorted(in_text, np.arange(n + 1)), pa.int32())
+            columns = [
+                part.column("uid"),
+                part.column("doc_id"),
+                pa.array(words.counts + 1),
+                pa.array(words.sums((count[words.ids] > 0).astype(np.int64)) + (known.ends > 0)),
+                pa.array(base),
+                pa.array(contexts),
+                pa.ListArray.from_arrays(offsets, words.vocabulary.take(pa.array(cold_word)).cast(pa.string())),
+                pa.ListArray.from_arrays(offsets, pa.array(times, pa.int64())),
+                pa.ListArray.from_arrays(offsets, pa.array([packed[8 * a : 8 * (a + t)] for a, t in zip(first.tolist(), times.tolist(), strict=True)], pa.binary())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, schema=_WORDS)
+
+    return run
+
+
+def _score_all(tagged: DataFrame, training: DataFrame, counts: DataFrame, hot_words: int) -> tuple[Vocabulary, DataFrame]:
+    """(uid, doc_id, n_tokens, n_known, base_score, score) of ``tagged`` by the model of all pairs."""
+    model = fit_hashed(training, counts, hot_words=hot_words)
+    known = model.vocabulary
+    shared = tagged.sparkSession.sparkContext.broadcast(known)
+    added = DIRICHLET + model.false_mass
+    total = known.tokens + 0.5 * (known.distinct + 1)
+    scored = staged(tagged.mapInArrow(_score_words(shared, added), _WORDS_DDL), "scored")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    rest = scored.select("uid", F.explode(F.arrays_zip("rest", "times", "keys")).alias("x")).select("uid", F.col("x.rest").alias("word"), "x.times", "x.keys")
+    found = staged(rest.join(counts, "word", "left").select("uid", "times", zero("n").alias("n"), "keys"), "cold-words")
+    cold = found.groupBy("uid").agg(
+        F.sum(F.col("times") * (F.log10(F.col("n") + 0.5) - float(np.log10(total)))).alias("log"),
+        F.sum(F.col("times") * F.log10(F.col("n") + added)).alias("cold_contexts"),
+        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("seen"),
+    )
+    asked = tagged.select("uid", "text").mapInArrow(_hot_pairs(shared, model.n_segments), _ASKED_DDL)
+    asked = asked.unionByName(found.filter("n > 0").select("uid", "n", "keys").mapInArrow(_cold_pairs(model.n_segments), _ASKED_DDL))
+    asked = model.segments.unionByName(asked, allowMissingColumns=True).repartition(shuffle_partitions(tagged.sparkSession), "segment")
+    asked = asked.sortWithinPartitions("segment", F.col("bits").isNull())
+    pairs = asked.mapInArrow(_probe(model.means, model.hashes, DIRICHLET / total), "uid long, log double").groupBy("uid").agg(F.sum("log").alias("pairs"))
+    return known, scored.drop("rest", "times", "keys").join(cold, "uid", "left").join(pairs, "uid", "left").select(
+        "uid",
+        "doc_id",
+        "n_tokens",
+        (F.col("known") + zero("seen")).alias("n_known"),
+        (F.col("base") + zero("log")).alias("base_score"),
+        (F.col("base") + zero("log") + F.col("n_tokens") * float(np.log10(DIRICHLET)) - F.col("contexts") - zero("cold_contexts") + zero("pairs")).alias("score"),
+    )
+
+
+def score(docs: DataFrame, *, size: int | None = None, hot_words: int = HOT_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores of all rows by the model of those with crc32(id) mod 5 <> 1.
 
     Columns: doc_id, held_out, n_tokens (words and one end), n_known (seen in training),
     train_tokens, base_score (unigrams), score (the model's log10 probability of the text).
     A null or empty text is its end alone. Repeated rows count as often as they come. A null id
     counts as the empty text for held_out. Without training text every word has unigram
-    probability 1. No rows: no rows. Other columns are not looked at.
+    probability 1. No rows: no rows. Other columns are not looked at. All word pairs are
+    counted, unless ``size`` asks for the bounded model.
     """
     tagged = id_and_text(docs, id_col, text_col).withColumn("uid", F.monotonically_increasing_id())
+    if size is None:
+        tagged = staged(tagged, "tagged")
     training = tagged.filter(~is_held_out(F.col("doc_id"))).select("text")
     counts = word_counts(training)
+    if size is None:
+        known, found = _score_all(tagged, training, counts, hot_words)
+        held, tokens = is_held_out(F.col("doc_id")).alias("held_out"), F.lit(known.tokens).cast("long").alias("train_tokens")
+        return found.select("doc_id", held, "n_tokens", "n_known", tokens, "base_score", "score")
     model = fit(training, counts, size=size, hot_words=hot_words)
     known = model.vocabulary
     shared = docs.sparkSession.sparkContext.broadcast(model)

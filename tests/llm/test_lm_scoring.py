@@ -91,3 +91,45 @@ def test_empty_tables(make_docs):
     only = [i for i in range(50) if held_out(i)][:2]
     rows = lm.score(make_docs([(only[0], "a b"), (only[1], None)])).collect()
     assert all(r["train_tokens"] == 0 and r["base_score"] == 0 and np.isfinite(r["score"]) for r in rows)
+
+
+def brute_scores(pairs):
+    """log10 probabilities by exact pair counts, without a filter."""
+    count = Counter(t for i, text in pairs if not held_out(i) for t in tokens(text))
+    follow = Counter(p for i, text in pairs if not held_out(i) for p in zip(["", *tokens(text)[:-1]], tokens(text), strict=True))
+    total = sum(count.values()) + 0.5 * (len(count) + 1)
+    out = {}
+    for i, text in pairs:
+        own = tokens(text)
+        terms = zip(["", *own[:-1]], own, strict=True)
+        before = lambda h: count[None] if h == "" else count[h]
+        out[i] = sum(log10((follow[h, w] + lm.DIRICHLET * (count[w] + 0.5) / total) / (before(h) + lm.DIRICHLET)) for h, w in terms)
+    return out
+
+
+def rare_word_pairs():
+    """Over 3,000 words, each as frequent as any other, that always come in the same couples."""
+    rng = random.Random(5)
+    return list(enumerate(" ".join(f"left{k} right{k}" for k in rng.sample(range(1600), 60)) for _ in range(300)))
+
+
+@pytest.mark.parametrize("hot_words", [400_000, 10, 0])
+def test_pairs_of_all_words_are_counted(make_docs, edge_pairs, hot_words):
+    pairs = rare_word_pairs()
+    want = brute_scores(pairs)
+    rows = lm.score(make_docs(pairs), hot_words=hot_words).collect()
+    assert {r["doc_id"] for r in rows} == set(want)
+    assert all(r["score"] == pytest.approx(want[r["doc_id"]], rel=0.01) for r in rows)
+    new = [r for r in rows if r["held_out"]]
+    # Every second word is told by the one before: the unigram model doesn't know.
+    assert sum(r["score"] for r in new) > sum(r["base_score"] for r in new) + 10 * len(new)
+    edge = lm.score(make_docs(edge_pairs), hot_words=hot_words).collect()
+    got = sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in edge)
+    for g, w in zip(got, sorted(base_rows(edge_pairs)), strict=True):
+        assert g[:5] == w[:5] and g[5] == pytest.approx(w[5], rel=1e-9, abs=1e-9)
+
+
+def test_bounded_vocabulary_is_filled_when_counts_are_equal(spark):
+    counts = spark.createDataFrame([(f"w{k}", 7) for k in range(50)] + [("", 9)], "word string, n long")
+    known = lm.vocabulary(counts, size=20)
+    assert len(known.classes) == 20 and len(known.counts) == 50
