@@ -14,6 +14,7 @@ about capacity * ln(capacity) patterns; that bounds the one table that is broadc
 from __future__ import annotations
 
 import os
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -45,7 +46,8 @@ class ChunkTokenizer:
     """Token ids of texts whose tokenizer drops white space and never joins what it parts, nor words and marks.
 
     Each different chunk between spaces, line feeds and ends of words goes to the tokenizer once; the ids of later ones come
-    from a table that is emptied when it holds more than ``keep`` chunks.
+    from a table that is emptied when it holds more than ``keep`` chunks. A text that holds an added token of the file
+    (``<|endoftext|>``), in its letter case, goes to the tokenizer whole, so that the token gets its own id.
     """
 
     def __init__(self, path: str, keep: int = 600_000):
@@ -53,6 +55,10 @@ class ChunkTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.whole = Tokenizer.from_file(path)
+        added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.added = "|".join(re.escape(t) for t in added) if added else None
+        # Of chunks: none holds an added token, but lower-casing could make one of <|ENDOFTEXT|>.
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         letters = "A B C D E F G H I J K L M N O P Q R S T U V W X Y Z"
@@ -81,7 +87,19 @@ class ChunkTokenizer:
         return np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
-        """Ids of each text (uint32)."""
+        """Ids of each text (uint32), as the tokenizer gives them with add_special_tokens=False."""
+        if self.added is None:
+            return self._by_chunks(texts)
+        holds = pc.match_substring_regex(texts, self.added)
+        whole = np.flatnonzero(pc.fill_null(holds, False).to_numpy(zero_copy_only=False))
+        if not len(whole):
+            return self._by_chunks(texts)
+        ids = self._by_chunks(pc.if_else(holds, "", texts))
+        for i in whole.tolist():
+            ids[i] = np.array(self.whole.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32)
+        return ids
+
+    def _by_chunks(self, texts: pa.Array) -> list[np.ndarray]:
         # The tokenizer lower-cases; doing so for A-Z first leaves fewer different chunks.
         if self.lower_cases:
             texts = pc.ascii_lower(texts)

@@ -57,6 +57,22 @@ def test_chunk_cache_can_be_emptied(edge_pairs):
             assert ids.tolist() == tokens(text)[:-1]
 
 
+SPECIAL_TEXTS = [
+    "end of one <|endoftext|> start", "<|startoftext|>A b.<|endoftext|>", "x<|endoftext|>y", "no <|ENDOFTEXT|> here", "both <|ENDOFTEXT|> and <|endoftext|>",
+    "<|endoftext|", "plain text, twice.", "<|endoftext|><|endoftext|>\n<|endoftext|>",
+]
+
+
+def test_special_tokens_get_their_ids(make_docs):
+    from tokenizers import Tokenizer
+
+    default = Tokenizer.from_file(PATH)
+    rows = packing.pack_documents(make_docs(list(enumerate(SPECIAL_TEXTS))), PATH).collect()
+    got = {r["doc_id"]: np.frombuffer(bytes(r["ids"]), "<u4").tolist() for r in rows}
+    assert got == {i: [*default.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(SPECIAL_TEXTS)}
+    assert 49407 in got[0] and 49407 not in got[3]
+
+
 def unroll(patterns):
     return sorted(length for bin_, times in patterns for length in bin_ * times)
 
