@@ -72,6 +72,32 @@ def test_bad_chunks_reject_a_text_that_is_good_on_the_whole():
     assert found["bad_chunks"][0] > 0.5 and not found["kept"][0]
 
 
+def junk(rng, letters, n):
+    """Random words of 3 to 12 letters, about n bytes."""
+    return " ".join("".join(rng.choices(letters, k=rng.randint(3, 12))) for _ in range(2 * n // 17))
+
+
+@pytest.mark.parametrize(
+    "letters, least",
+    [("0123456789abcdef", 2500), ("abcdefghijklmnopqrstuvwxyz", 2500), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 1500), ("abcdefghijklmnopqrstuvwxyz0123456789", 1500)],
+)
+def test_random_letters_are_rejected(letters, least):
+    rng = random.Random(3)
+    texts = [junk(rng, letters, n) for n in (least, 5000, 20_000, 400_000) for _ in range(3)]
+    assert not any(verdicts(texts))
+
+
+def test_half_junk_and_junk_tails_are_rejected():
+    rng = random.Random(4)
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    clean = prose(rng, 1600)
+    assert len(clean) > 8192 and verdicts([clean]) == [True]
+    half = clean[:11_000] + " " + junk(rng, base64, 9000)
+    tail = clean[:8192] + " " + junk(rng, base64, 4000)
+    found = qr.measures(pa.array([half, tail]))
+    assert not found["kept"].any() and found["bad_chunks"][1] > 0.25
+
+
 def test_keep_by_rules_leaves_columns(make_docs, edge_pairs):
     pairs = [*edge_pairs, *enumerate(rule_texts(), 1000)]
     docs = make_docs(pairs)
