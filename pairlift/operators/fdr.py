@@ -1,13 +1,13 @@
 """Benjamini-Hochberg false discovery rate at scale.
 
-q of rank i is the minimum over j >= i of n * p_j / j, at most 1. A window over all rows
-would put them into one task. Here p is cut into buckets of about equal size at approximate
-quantiles; ranks and minima are taken inside a bucket, and one row per bucket carries the
-count before it and the minimum behind it. Any bucket edges give the exact result, so they
-may come from a sketch.
-
-A p-value that very many rows share would fill one bucket. Such values are found by a
-top-k sketch and enter as one row with a count; their q goes back by a map-side join.
+q of rank i is the minimum over j >= i of n * p_j / j, at most 1: a step function of p. So it
+is computed on the narrow table of distinct p-values with their counts, and joined back to
+the rows, which are scanned once for it. A p that very many rows share is one counted row
+from the first combine on.
+
+A window over all p-values would put them into one task. They are cut into buckets of about
+equal size; ranks and minima are taken inside a bucket, and one row per bucket carries the
+count before it and the minimum behind it. Any bucket edges give the exact result.
 """
 
 from __future__ import annotations
@@ -15,21 +15,56 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pairlift.operators.skew import hot_hashes, lookup_join, small_or_plain
+from pairlift.operators.skew import lookup_join, small_or_plain
 from pairlift.session import shuffle_partitions
-from pairlift.workspace import written
+from pairlift.workspace import stable, written
 
+# Parts of a crowded cell per bucket that it should fill.
+FINENESS = 8
 
-def _bucketizer(df: DataFrame, buckets: int) -> Bucketizer:
-    """Edges at approximate quantiles of ``_p``: one scan of that column, ``buckets`` numbers come back."""
-    shares = [i / buckets for i in range(1, buckets)] or [0.5]
-    row = df.agg(F.percentile_approx("_p", shares, max(10_000, 50 * buckets)).alias("edges")).first()
-    inner = sorted({float(e) for e in row["edges"] or [] if e is not None and abs(e) != float("inf")})
-    if not inner:
-        inner = [0.0]
-    return Bucketizer(splits=[-float("inf"), *inner, float("inf")], inputCol="_p", outputCol="_bucket")
+
+def _cell(p: Column) -> Column:
+    """A whole number that rises with ``p``: about two cells a power of two, 9,000 in all."""
+    size = F.floor(F.log2(F.least(F.abs(p), F.lit(1e308))) * 2) + 5000
+    return F.when(p > 0, size).when(p < 0, -size).otherwise(F.lit(0))
+
+
+def quantile_edges(values: DataFrame, column: str, buckets: int) -> list[float]:
+    """Values that cut a column into about ``buckets`` parts of like counts.
+
+    A histogram of two levels, both combined before they are shuffled: fixed cells on a log
+    scale, then equal parts of the cells that hold more than a bucket's share. It has at most
+    9,000 plus some ``buckets`` rows, whatever the number of values. Edges are values of the
+    column. A value that many rows share can't be cut.
+    """
+    p = F.col(column)
+    facts = [F.count(F.lit(1)).alias("n"), F.min(p).alias("low"), F.max(p).alias("high")]
+    cells = values.select(p, _cell(p).alias("_cell")).groupBy("_cell").agg(*facts).orderBy("_cell").collect()
+    share = max(1.0, sum(c["n"] for c in cells) / max(1, buckets))
+    crowded = [(c["_cell"], c["low"], c["high"], int(FINENESS * c["n"] / share)) for c in cells if c["n"] > share and c["low"] < c["high"] < float("inf")]
+    parts = {}
+    if crowded:
+        shape = F.broadcast(values.sparkSession.createDataFrame(crowded, "_cell long, _low double, _high double, _m long"))
+        part = F.least(F.floor((p - F.col("_low")) / (F.col("_high") - F.col("_low")) * F.col("_m")), F.col("_m") - 1)
+        finer = values.select(p, _cell(p).alias("_cell")).join(shape, "_cell").select(p, "_cell", part.alias("_part"))
+        for row in finer.groupBy("_cell", "_part").agg(*facts).orderBy("_cell", "_part").collect():
+            parts.setdefault(row["_cell"], []).append(row)
+    edges, held = [], 0
+    for cell in cells:
+        for piece in parts.get(cell["_cell"], [cell]):
+            if held and held + piece["n"] > share:
+                edges.append(float(piece["low"]))
+                held = 0
+            held += piece["n"]
+    return edges
+
+
+def _bucketed(df: DataFrame, edges: list[float]) -> DataFrame:
+    inner = sorted({e for e in edges if abs(e) != float("inf")}) or [0.0]
+    cut = Bucketizer(splits=[-float("inf"), *inner, float("inf")], inputCol="_p", outputCol="_bucket")
+    return cut.transform(df).withColumn("_bucket", F.col("_bucket").cast("int"))
 
 
 def bh_adjust(
@@ -43,7 +78,6 @@ def bh_adjust(
     alpha: float | None = None,
     digits: int | None = None,
     buckets: int | None = None,
-    hot: list[int] | None = None,
 ) -> DataFrame:
     """``df`` plus the adjusted value ``out``. Rows without a p-value are no tests and are left out.
 
@@ -52,19 +86,16 @@ def bh_adjust(
     log space. alpha: adds a ``significant`` flag. digits: rounds the result.
     """
     by = list(by)
-    columns = df.columns
-    rows = written(df, "tests").withColumn("_p", F.col(p_col).cast("double"))
+    # Zero has one sign here, so that it is one value.
+    rows = written(df, "tests").withColumn("_p", F.col(p_col).cast("double") + 0.0)
     rows = rows.where(F.col("_p").isNotNull() & ~F.isnan("_p"))
     narrow = rows.select(*by, "_p")
     # More buckets than tasks, so that hashing them to tasks comes out even.
-    edges = _bucketizer(narrow, buckets or 8 * shuffle_partitions(df.sparkSession))
-    hot = hot_hashes(narrow, ["_p"]) if hot is None else hot
-    number = F.col("_bucket").cast("int")
-    rows = edges.transform(rows).withColumn("_bucket", number)
-    narrow = edges.transform(narrow).withColumn("_bucket", number)
-
-    # One row per (group, bucket): tests before it and inside it.
-    per_bucket = narrow.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_in"))
+    edges = quantile_edges(narrow, "_p", buckets or 8 * shuffle_partitions(df.sparkSession))
+    counts = stable(_bucketed(narrow.groupBy(*by, "_p").agg(F.count(F.lit(1)).alias("_c")), edges), "p-counts")
+
+    # One row per (group, bucket): tests up to its end.
+    per_bucket = counts.groupBy(*by, "_bucket").agg(F.sum("_c").alias("_in"))
     earlier = Window.partitionBy(*by).orderBy(F.desc("_bucket") if log10 else F.asc("_bucket"))
     total = F.lit(n_tests) if n_tests is not None else F.sum("_in").over(Window.partitionBy(*by))
     offsets = small_or_plain(
@@ -76,52 +107,25 @@ def bh_adjust(
         )
     )
 
-    def weighted(table: DataFrame, payload: list[str]) -> DataFrame:
-        """Rows with weight 1, and each hot p-value as one row with its count."""
-        single = table.withColumn("_row", F.struct(*payload)) if payload else table
-        keep = [*by, "_p", "_bucket", *(["_row"] if payload else [])]
-        if not hot:
-            return single.select(*keep, F.lit(1).cast("long").alias("_c"))
-        is_hot = F.xxhash64("_p").isin(hot)
-        many = table.where(is_hot).groupBy(*by, "_p", "_bucket").agg(F.count(F.lit(1)).alias("_c"))
-        return single.where(~is_hot).select(*keep, F.lit(1).cast("long").alias("_c")).unionByName(many, allowMissingColumns=True)
-
-    # From the largest p down, one sort serves the rank and the running minimum. The rank
-    # of a tie is that of its last member; rank() and the surplus weight seen so far give
-    # the tests with a larger p.
+    # From the largest p down, one sort serves the rank and the running minimum: a rank is
+    # what the bucket's end has, less the tests with a larger p.
     down = Window.partitionBy(*by, "_bucket").orderBy(F.asc("_p") if log10 else F.desc("_p"))
+    upto_here = down.rowsBetween(Window.unboundedPreceding, 0)
+    table = lookup_join(counts, offsets, [*by, "_bucket"], null_safe=by, hot=[])
+    ranked = table.withColumn("_rank", F.col("_upto") - (F.sum("_c").over(upto_here) - F.col("_c")))
+    raw = F.log10("_n") - F.col("_p") - F.log10("_rank") if log10 else F.col("_n") * F.col("_p") / F.col("_rank")
+    inside = stable(ranked.withColumn("_raw", raw).select(*by, "_p", "_bucket", F.min("_raw").over(upto_here).alias("_run")), "p-minima")
 
-    def raw_values(table: DataFrame) -> DataFrame:
-        table = lookup_join(table, offsets, [*by, "_bucket"], null_safe=by, hot=[])
-        larger = F.rank().over(down) - 1
-        if hot:
-            larger = larger + F.sum(F.col("_c") - 1).over(down) - (F.col("_c") - 1)
-        ranked = table.withColumn("_rank", F.col("_upto") - larger)
-        if log10:
-            raw = F.log10("_n") - F.col("_p") - F.log10("_rank")
-        else:
-            raw = F.col("_n") * F.col("_p") / F.col("_rank")
-        return ranked.withColumn("_raw", raw)
-
-    minima = raw_values(weighted(narrow, [])).groupBy(*by, "_bucket").agg(F.min("_raw").alias("_m"))
+    minima = inside.groupBy(*by, "_bucket").agg(F.min("_run").alias("_m"))
     behind = Window.partitionBy(*by).orderBy(F.asc("_bucket") if log10 else F.desc("_bucket"))
     tails = small_or_plain(
         minima.select(*by, "_bucket", F.min("_m").over(behind.rowsBetween(Window.unboundedPreceding, -1)).alias("_tail"))
     )
-
-    cap = 0.0 if log10 else 1.0
-    ranked = raw_values(weighted(rows, columns)).withColumn("_run", F.min("_raw").over(down))
-    best = lookup_join(ranked, tails, [*by, "_bucket"], null_safe=by, hot=[])
-    value = F.least(F.lit(cap), "_run", "_tail")
+    value = F.least(F.lit(0.0 if log10 else 1.0), "_run", "_tail")
     if log10:
         value = F.pow(F.lit(10.0), value)
-    adjusted = best.withColumn(out, value)
-    result = adjusted.where(F.col("_row").isNotNull()).select("_row.*", out)
-    if hot:
-        # At most a few hundred p-values per group; joined by shuffle if the groups are many.
-        shared = small_or_plain(adjusted.where(F.col("_row").isNull()).select(*by, "_p", out))
-        back = rows.where(F.xxhash64("_p").isin(hot)).drop("_bucket")
-        result = result.unionByName(lookup_join(back, shared, [*by, "_p"], null_safe=by).select(*columns, out))
+    steps = lookup_join(inside, tails, [*by, "_bucket"], null_safe=by, hot=[]).select(*by, "_p", value.alias(out))
+    result = lookup_join(rows, steps, [*by, "_p"], null_safe=by).select(*df.columns, out)
     if alpha is not None:
         result = result.withColumn("significant", F.col(out) <= alpha)
     # Rounded last: a value just above alpha must not become significant by its printed form.

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pairlift.functions.scalars import fixed_decimals
-from pairlift.operators.skew import grid_join, hot_hashes, lookup_join
+from pairlift.operators.skew import Hot, grid_join, hot_hashes, lookup_join, salted
 from pairlift.workspace import stable, written
 
 SIGNAL_BIN = 100_000
@@ -27,8 +27,8 @@ def near_pairs(
     distance: int,
     *,
     bin_width: int | None = None,
-    point_hot: list[int] | None = None,
-    region_hot: list[int] | None = None,
+    point_hot: Hot | None = None,
+    region_hot: Hot | None = None,
 ) -> DataFrame:
     """Pairs of a point (chr, pos, ...) and a region (chr, start, end, ...) at most ``distance`` apart.
 
@@ -50,8 +50,8 @@ def overlap_pairs(
     right: DataFrame,
     *,
     bin_width: int = SIGNAL_BIN,
-    left_hot: list[int] | None = None,
-    right_hot: list[int] | None = None,
+    left_hot: Hot | None = None,
+    right_hot: Hot | None = None,
 ) -> DataFrame:
     """Pairs of half-open intervals that share at least one base, plus the ``overlap`` length.
 
@@ -165,9 +165,10 @@ def signal_summary(queries: DataFrame, signal: DataFrame, *, bin_width: int = SI
         names = {c: f"{c}_{side}" for c in ("_cov0", "_sum0", "_cov", "_sum")}
         return readings.withColumnRenamed("pos", col).withColumnsRenamed(names)
 
-    both = queries
+    hot = {col: hot_hashes(queries, ["chr", col]) for col in ("start", "end")}
+    both = salted(queries) if any(hot.values()) else queries
     for side, col in (("a", "start"), ("b", "end")):
-        both = lookup_join(both, at(side, col), ["chr", col], hot=hot_hashes(queries, ["chr", col]))
+        both = lookup_join(both, at(side, col), ["chr", col], hot=hot[col])
 
     def between(name: str) -> Column:
         # Whole bins and in-bin parts are subtracted apart, so short queries lose no digits.

@@ -1,8 +1,7 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
-from pairlift.operators.fdr import bh_adjust
+from pairlift.operators.fdr import bh_adjust, quantile_edges
 
 
 def numpy_bh(p, n=None):
@@ -25,37 +24,35 @@ def tied():
     return np.maximum(p, 1e-6)
 
 
-def hashes(spark, *values):
-    df = spark.createDataFrame([(float(v),) for v in values], "v double")
-    return [r[0] for r in df.select(F.xxhash64("v")).collect()]
-
-
 @pytest.mark.parametrize("buckets", [1, 7, 64])
-@pytest.mark.parametrize("use_hot", [False, True])
-def test_matches_numpy(spark, tied, buckets, use_hot):
+def test_matches_numpy(spark, tied, buckets):
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(tied)], "i int, p double").repartition(5)
-    hot = hashes(spark, 0.25, 0.0003) if use_hot else []
-    got = {r["i"]: r["fdr"] for r in bh_adjust(df, "p", buckets=buckets, hot=hot).collect()}
+    got = {r["i"]: r["fdr"] for r in bh_adjust(df, "p", buckets=buckets).collect()}
     want = numpy_bh(tied)
     assert len(got) == len(tied)
     assert np.allclose([got[i] for i in range(len(tied))], want, rtol=1e-14)
 
 
-def test_sketch_finds_the_shared_value(spark, tied):
-    from pairlift.operators.skew import hot_hashes
-
-    df = spark.createDataFrame([(float(v),) for v in tied], "p double")
-    assert hashes(spark, 0.25)[0] in hot_hashes(df, ["p"], check_bytes=0)
+def test_edges_cut_evenly(spark):
+    """Buckets hold like counts though the values are crowded, huge, negative, zero or infinite."""
+    rng = np.random.default_rng(9)
+    p = np.concatenate([rng.uniform(0.7, 0.7001, 4000), 10.0 ** -rng.uniform(0, 300, 2000), -rng.exponential(5, 1000), np.zeros(5), [1e308, np.inf, -np.inf]])
+    df = spark.createDataFrame([(float(v),) for v in p], "_p double").repartition(3)
+    for buckets in (1, 10, 64):
+        edges = quantile_edges(df, "_p", buckets)
+        assert edges == sorted(edges) and set(edges) <= set(p)
+        sizes = np.diff(np.searchsorted(np.sort(p), [-np.inf, *edges, np.inf], side="left"))
+        assert len(edges) < 3 * buckets and sizes.max() <= 1.3 * len(p) / buckets + 1
+    assert quantile_edges(df.limit(0), "_p", 8) == []
 
 
 def test_groups_and_given_n(spark, tied):
     rows = [(i, "abc"[i % 3] if i % 7 else None, float(v)) for i, v in enumerate(tied)]
     df = spark.createDataFrame(rows, "i int, g string, p double")
-    for hot in ([], hashes(spark, 0.25)):
-        got = {r["i"]: r["fdr"] for r in bh_adjust(df, "p", by=["g"], hot=hot).collect()}
-        for g in ("a", "b", "c", None):
-            idx = [i for i, gg, _ in rows if gg == g]
-            assert np.allclose([got[i] for i in idx], numpy_bh(tied[idx]), rtol=1e-14)
+    got = {r["i"]: r["fdr"] for r in bh_adjust(df, "p", by=["g"]).collect()}
+    for g in ("a", "b", "c", None):
+        idx = [i for i, gg, _ in rows if gg == g]
+        assert np.allclose([got[i] for i in idx], numpy_bh(tied[idx]), rtol=1e-14)
     got = {r["i"]: r["fdr"] for r in bh_adjust(df, "p", n_tests=50_000).collect()}
     assert np.allclose([got[i] for i in range(len(tied))], numpy_bh(tied, 50_000), rtol=1e-14)
 
@@ -65,10 +62,9 @@ def test_log_space(spark, tied):
     v[5] = 400.0
     v[6] = -0.5
     df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "i int, v double")
-    for hot in ([], hashes(spark, float(-np.log10(0.25)))):
-        got = {r["i"]: r["q"] for r in bh_adjust(df, "v", log10=True, out="q", hot=hot).collect()}
-        want = numpy_bh(10.0 ** -v)
-        assert np.allclose([got[i] for i in range(len(v))], want, rtol=1e-10)
+    got = {r["i"]: r["q"] for r in bh_adjust(df, "v", log10=True, out="q").collect()}
+    want = numpy_bh(10.0 ** -v)
+    assert np.allclose([got[i] for i in range(len(v))], want, rtol=1e-10)
 
 
 def test_properties(spark, tied):
@@ -86,8 +82,9 @@ def test_nulls_are_no_tests_and_empty_is_empty(spark):
     assert bh_adjust(df.where("i > 9"), "p").count() == 0
 
 
-def test_no_single_task_sort_of_rows(spark):
-    """Rows are never brought into one partition."""
-    df = spark.range(1000).select((F.col("id") / 1000).alias("p"))
-    plan = bh_adjust(df, "p")._jdf.queryExecution().executedPlan().toString()
-    assert "SinglePartition" not in plan
+def test_rows_are_scanned_once_and_never_in_one_task(spark, tmp_path):
+    """The result reads the rows in one scan beside the narrow table of steps, and no window runs over them."""
+    spark.range(1000).selectExpr("id / 1000 AS p", "repeat('x', 200) AS wide").write.parquet(f"{tmp_path}/t")
+    plan = bh_adjust(spark.read.parquet(f"{tmp_path}/t"), "p")._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "Window" not in plan
+    assert sum("wide" in line and "Scan parquet" in line for line in plan.split("\n")) == 1

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from pairlift.operators.dedup import adjacent_distinct, first_per_key
 from pairlift.operators.intervals import near_pairs, overlap_pairs, parse_region, signal_summary
-from pairlift.operators.skew import grid_join, hot_hashes, lookup_join, small_or_plain
-from pairlift.workspace import written
+from pairlift.operators.skew import _with_pieces, grid_join, hot_hashes, lookup_join, small_or_plain
+from pairlift.workspace import stable, written
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +21,21 @@ def skewed(spark):
 def test_hot_keys_are_found(spark, skewed):
     want = spark.createDataFrame([(7,)], "k long").select(F.xxhash64("k")).first()[0]
     assert want in hot_hashes(skewed, ["k"], check_bytes=0)
-    assert hot_hashes(spark.range(10), ["id"]) == []
+    assert hot_hashes(spark.range(10), ["id"]) == {}
+
+
+def test_a_hot_key_gets_its_share_of_the_tasks(spark):
+    """30 % of equal rows go to about 30 % of the tasks."""
+    equal = spark.range(10_000).select(F.when(F.col("id") < 3000, 1).otherwise(F.col("id")).alias("k"), F.lit("same").alias("v"))
+    equal = stable(equal)
+    spark.conf.set("spark.sql.shuffle.partitions", "100")
+    try:
+        hot = hot_hashes(equal, ["k"], check_bytes=0)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert list(hot.values()) == [pytest.approx(30, abs=1)]
+    sizes = [r["count"] for r in _with_pieces(equal.where("k = 1"), ["k"], hot, "_piece", copy=False).groupBy("_piece").count().collect()]
+    assert len(sizes) == list(hot.values())[0] and max(sizes) < 2 * 3000 / len(sizes)
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
@@ -29,7 +43,7 @@ def test_lookup_join(spark, rows, skewed, how):
     table = spark.createDataFrame([(k, f"n{k}") for k in range(0, 50, 2)] + [(7, "seven")], "k int, name string").dropDuplicates(["k"])
     hot = hot_hashes(skewed, ["k"], check_bytes=0)
     assert hot
-    got = lookup_join(skewed, table, ["k"], how, hot=hot, pieces=5)
+    got = lookup_join(skewed, table, ["k"], how, hot=hot)
     assert rows(got, "k", "v", "name") == rows(skewed.join(table, "k", how), "k", "v", "name")
 
 
@@ -44,7 +58,7 @@ def test_grid_join(spark, rows, skewed):
     hot = hot_hashes(skewed, ["k"], check_bytes=0)
     want = rows(skewed.join(other, "k"), "k", "v", "w")
     for left_hot, right_hot in ((hot, []), ([], hot), (hot, hot)):
-        got = grid_join(skewed, other, ["k"], left_hot=left_hot, right_hot=right_hot, pieces=4)
+        got = grid_join(skewed, other, ["k"], left_hot=left_hot, right_hot=right_hot)
         assert rows(got, "k", "v", "w") == want
 
 

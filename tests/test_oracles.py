@@ -40,8 +40,7 @@ def test_as_if_tables_were_large(spark, con, name, monkeypatch):
 
     monkeypatch.setattr(skew, "SKEW_CHECK_BYTES", 0)
     monkeypatch.setattr(skew, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(skew, "PIECES", 4)
-    monkeypatch.setattr(skew, "shuffle_partitions", lambda _: 1_000)
+    monkeypatch.setattr(skew, "shuffle_partitions", lambda _: 100)
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:

@@ -78,20 +78,20 @@ def _assoc_out(df: DataFrame) -> DataFrame:
 
 @query
 def assoc_linear(spark, sf):
-    return _assoc_out(association.all_pairs_association(t.variant_matrix(spark, sf), t.trait_matrix(spark, sf)))
+    return _assoc_out(association.all_pairs_association(t.variant_matrix(spark, sf), t.trait_matrix(spark, sf), p_max=1.0))
 
 
 @query
 def assoc_linear_cov(spark, sf):
     return _assoc_out(
-        association.all_pairs_association(t.variant_matrix(spark, sf), t.trait_matrix(spark, sf), t.mean_covariate(spark, sf))
+        association.all_pairs_association(t.variant_matrix(spark, sf), t.trait_matrix(spark, sf), t.mean_covariate(spark, sf), p_max=1.0)
     )
 
 
 @query
 def assoc_interaction(spark, sf):
     return _assoc_out(
-        association.interaction_association(t.variant_matrix(spark, sf), t.trait_matrix(spark, sf), t.mean_covariate(spark, sf))
+        association.interaction_association(t.variant_matrix(spark, sf), t.trait_matrix(spark, sf), t.mean_covariate(spark, sf), p_max=1.0)
     )
 
 
