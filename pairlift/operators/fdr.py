@@ -21,13 +21,13 @@ from pairlift.operators.skew import lookup_join, small_or_plain
 from pairlift.session import shuffle_partitions
 from pairlift.workspace import stable, written
 
-# Parts of a crowded cell per bucket that it should fill.
-FINENESS = 8
+# Cells of the histogram for each power of two; parts of a crowded cell per bucket that it should fill.
+CELLS, FINENESS = 32, 8
 
 
 def _cell(p: Column) -> Column:
-    """A whole number that rises with ``p``: about two cells a power of two, 9,000 in all."""
-    size = F.floor(F.log2(F.least(F.abs(p), F.lit(1e308))) * 2) + 5000
+    """A whole number that rises with ``p``; doubles have about 70,000 such cells of either sign."""
+    size = F.floor(F.log2(F.least(F.abs(p), F.lit(1e308))) * CELLS) + 2000 * CELLS
     return F.when(p > 0, size).when(p < 0, -size).otherwise(F.lit(0))
 
 
@@ -35,15 +35,15 @@ def quantile_edges(values: DataFrame, column: str, buckets: int) -> list[float]:
     """Values that cut a column into about ``buckets`` parts of like counts.
 
     A histogram of two levels, both combined before they are shuffled: fixed cells on a log
-    scale, then equal parts of the cells that hold more than a bucket's share. It has at most
-    9,000 plus some ``buckets`` rows, whatever the number of values. Edges are values of the
-    column. A value that many rows share can't be cut.
+    scale, then, if there are any, equal parts of the cells that hold more than two buckets'
+    share. Its size is that of the cells and some ``buckets``, whatever the number of values.
+    Edges are values of the column. A value that many rows share can't be cut.
     """
     p = F.col(column)
     facts = [F.count(F.lit(1)).alias("n"), F.min(p).alias("low"), F.max(p).alias("high")]
     cells = values.select(p, _cell(p).alias("_cell")).groupBy("_cell").agg(*facts).orderBy("_cell").collect()
     share = max(1.0, sum(c["n"] for c in cells) / max(1, buckets))
-    crowded = [(c["_cell"], c["low"], c["high"], int(FINENESS * c["n"] / share)) for c in cells if c["n"] > share and c["low"] < c["high"] < float("inf")]
+    crowded = [(c["_cell"], c["low"], c["high"], int(FINENESS * c["n"] / share)) for c in cells if c["n"] > 2 * share and -float("inf") < c["low"] < c["high"] < float("inf")]
     parts = {}
     if crowded:
         shape = F.broadcast(values.sparkSession.createDataFrame(crowded, "_cell long, _low double, _high double, _m long"))
@@ -92,10 +92,9 @@ def bh_adjust(
     narrow = rows.select(*by, "_p")
     # More buckets than tasks, so that hashing them to tasks comes out even.
     edges = quantile_edges(narrow, "_p", buckets or 8 * shuffle_partitions(df.sparkSession))
-    counts = stable(_bucketed(narrow.groupBy(*by, "_p").agg(F.count(F.lit(1)).alias("_c")), edges), "p-counts")
 
     # One row per (group, bucket): tests up to its end.
-    per_bucket = counts.groupBy(*by, "_bucket").agg(F.sum("_c").alias("_in"))
+    per_bucket = _bucketed(narrow, edges).groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_in"))
     earlier = Window.partitionBy(*by).orderBy(F.desc("_bucket") if log10 else F.asc("_bucket"))
     total = F.lit(n_tests) if n_tests is not None else F.sum("_in").over(Window.partitionBy(*by))
     offsets = small_or_plain(
@@ -111,6 +110,7 @@ def bh_adjust(
     # what the bucket's end has, less the tests with a larger p.
     down = Window.partitionBy(*by, "_bucket").orderBy(F.asc("_p") if log10 else F.desc("_p"))
     upto_here = down.rowsBetween(Window.unboundedPreceding, 0)
+    counts = _bucketed(narrow.groupBy(*by, "_p").agg(F.count(F.lit(1)).alias("_c")), edges)
     table = lookup_join(counts, offsets, [*by, "_bucket"], null_safe=by, hot=[])
     ranked = table.withColumn("_rank", F.col("_upto") - (F.sum("_c").over(upto_here) - F.col("_c")))
     raw = F.log10("_n") - F.col("_p") - F.log10("_rank") if log10 else F.col("_n") * F.col("_p") / F.col("_rank")
