@@ -23,9 +23,9 @@ from pairlift.llm.bit_sliced import NO_ID, matrix_of
 from pairlift.llm.common import staged
 from pairlift.llm.vectors import SCALE, meet, tile_counts, usable, whole_numbers
 
-BUCKET_ROWS = 8192
+BUCKET_ROWS = 4096
 # Anchors and bucket rows that meet in one task.
-ANCHOR_TILE, LEAST_ANCHOR_TILE, ROWS_TILE = 2048, 8, 1 << 16
+ANCHOR_TILE, LEAST_ANCHOR_TILE, ROWS_TILE = 2048, 8, 8192
 FOCUS = 4
 # Room for rounding in cosines; a wider range only lets more rows be scored.
 SLACK = 1e-9
@@ -47,13 +47,21 @@ class Bucket:
         self.ids, self.uids, self.labels = ids, uids, labels
         self.cells = cells.astype(np.float64)
         self.whole = cells
-        self.lengths = np.sqrt((self.cells * self.cells).sum(axis=1))
-        unit = self.cells / np.where(self.lengths > 0, self.lengths, 1.0)[:, None]
-        self.lists = np.argsort(unit, axis=0, kind="stable").T.astype(np.int32) if lists is None else lists
-        self.sorted = np.take_along_axis(unit, self.lists.T, axis=0).T
-        self.shortest, self.longest = (self.lengths.min(), self.lengths.max()) if len(ids) else (0.0, 0.0)
+        lengths = np.sqrt((self.cells * self.cells).sum(axis=1))
+        self.shortest, self.longest = (lengths.min(), lengths.max()) if len(ids) else (0.0, 0.0)
+        self.lengths = np.where(lengths > 0, lengths, 1.0)
+        if lists is None:
+            lists = np.argsort(self.cells / self.lengths[:, None], axis=0, kind="stable").T
+        self.lists, self.sorted = lists, {}
         self.largest = np.abs(self.cells).max(axis=0, initial=0.0)
 
+    def values(self, f: int) -> np.ndarray:
+        """Coordinate ``f`` of the rows at unit length, ascending: the values of its list."""
+        if f not in self.sorted:
+            rows = self.lists[f]
+            self.sorted[f] = self.cells[rows, f] / self.lengths[rows]
+        return self.sorted[f]
+
     def candidates(self, unit: np.ndarray, length: float, focus: np.ndarray, least: float) -> np.ndarray | None:
         """Rows that may score ``least`` or more with an anchor of this direction and length; None: any row may."""
         reach = length * (self.longest if least > 0 else self.shortest)
@@ -70,7 +78,8 @@ class Bucket:
         high = np.cos(np.maximum(0.0, own - angle)) + SLACK
         runs = []
         for f, lo, hi in zip(focus, low, high, strict=True):
-            start, stop = np.searchsorted(self.sorted[f], lo, "left"), np.searchsorted(self.sorted[f], hi, "right")
+            values = self.values(int(f))
+            start, stop = np.searchsorted(values, lo, "left"), np.searchsorted(values, hi, "right")
             if stop - start < len(self.ids):
                 runs.append(self.lists[f, start:stop])
         if not runs:
@@ -117,12 +126,17 @@ class Best:
             self.least = max(self.least, int(self.scores[-1]))
 
 
+def _place(n: int) -> np.dtype:
+    """The number type of places in a list of ``n``."""
+    return np.dtype(np.uint16 if n <= 1 << 16 else np.int32)
+
+
 def _emit(dim: int, rows: list[tuple]) -> pa.RecordBatch:
     ids, uids, labels, cells = (np.concatenate([r[i] for r in rows]) for i in range(4))
     bucket = Bucket(ids, uids, labels, cells)
     narrow = next(t for t in (np.int16, np.int32, np.int64) if bucket.largest.max(initial=0.0) <= np.iinfo(t).max)
     values = [dim, TaskContext.get().partitionId(), float(bucket.longest), ids.tobytes(), uids.tobytes(), labels.tobytes(),
-              np.dtype(narrow).itemsize, cells.astype(narrow).tobytes(), bucket.lists.tobytes()]
+              np.dtype(narrow).itemsize, cells.astype(narrow).tobytes(), bucket.lists.astype(_place(len(ids))).tobytes()]
     return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _BUCKET, strict=True)], schema=_BUCKET)
 
 
@@ -153,15 +167,14 @@ def _fill(bucket_rows: int):
     return run
 
 
-def _open(table: pa.Table) -> list[Bucket]:
-    """The buckets of a cell, longest first."""
-    out = []
-    for part in sorted(table.to_pylist(), key=lambda r: -r["longest"]):
-        ids, uids, labels = (np.frombuffer(part[c], np.int64) for c in ("ids", "uids", "labels"))
-        cells = np.frombuffer(part["cells"], np.dtype(f"i{part['width']}")).reshape(len(ids), part["_dim"])
-        lists = np.frombuffer(part["lists"], np.int32).reshape(part["_dim"], len(ids))
-        out.append(Bucket(ids, uids, labels, cells, lists))
-    return out
+def _open(table: pa.Table) -> Iterator[Bucket]:
+    """The buckets of a cell, longest first, one at a time."""
+    for at in np.argsort(-table.column("longest").to_numpy(), kind="stable"):
+        part = {c: table.column(c)[int(at)] for c in table.column_names}
+        ids, uids, labels = (np.frombuffer(part[c].as_buffer(), np.int64) for c in ("ids", "uids", "labels"))
+        dim, width = part["_dim"].as_py(), part["width"].as_py()
+        cells = np.frombuffer(part["cells"].as_buffer(), np.dtype(f"i{width}")).reshape(len(ids), dim)
+        yield Bucket(ids, uids, labels, cells, np.frombuffer(part["lists"].as_buffer(), _place(len(ids))).reshape(dim, len(ids)))
 
 
 def _focused(anchors: pa.Table, focus: int) -> list[tuple]:

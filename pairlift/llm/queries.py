@@ -135,8 +135,8 @@ ORACLES: dict[str, str] = {
     "op11_bit_sliced_top_k": r"""
         WITH v AS (
             SELECT row_number() OVER () AS u, vec_id, label, embedding, len(embedding) AS d,
-                list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS q
-            FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+                list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+            FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), scored AS (
             SELECT a.u, a.vec_id AS query_id, b.u AS o, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
             FROM v AS a JOIN v AS b ON a.u <> b.u AND a.d = b.d WHERE a.vec_id % 50 = 0
@@ -170,8 +170,8 @@ ORACLES: dict[str, str] = {
         WITH v AS (
             SELECT * REPLACE (CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label) FROM (
             SELECT row_number() OVER () AS u, vec_id, label, embedding, len(embedding) AS d,
-                list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS q
-            FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND label IS NOT NULL
+                list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+            FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND label IS NOT NULL
             )
         ), scored AS (
             SELECT a.u, a.vec_id AS anchor_id, b.u AS o, b.vec_id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
