@@ -7,17 +7,22 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairlift.functions.scalars import composite_key
-from pairlift.operators.contacts import normalise_contacts
+from pairlift.operators.contacts import contact_lookup, normalise_contacts
 from pairlift.operators.fdr import bh_adjust
-from pairlift.operators.intervals import in_region, parse_region
-from pairlift.operators.matrices import pick_samples, take_samples
+from pairlift.operators.intervals import attach_signal, in_region, parse_region
+from pairlift.operators.matrices import by_chromosome, pick_samples, take_samples
 from pairlift.operators.methylation import methylation_matrix
 from pairlift.operators.models import load_model, save_model
 from pairlift.operators.ratios import observed_expected
-from pairlift.plans.rescoring import associate_region, detect, pair_features, train, training_set
-from pairlift.sinks.tables import write_contacts, write_fdr, write_matrix, write_table
+from pairlift.plans.downsample import downsample_association
+from pairlift.plans.rescoring import associate_region, complete_features, detect, pair_features, pair_spans, train, training_set
+from pairlift.plans.stages import Stages
+from pairlift.sinks.tables import write_by_chromosome, write_contacts, write_fdr, write_matrix, write_matrix_by_chromosome, write_table
 from pairlift.sources import genomics as g
 
+# Beyond this, names of chromosomes are no chromosomes.
+MAX_CHROMOSOMES = 100_000
+
 
 def fdr_job(
     spark: SparkSession, source: str, target: str, *, key_cols: Sequence[int] = (1,), p_col: int = 2,
@@ -74,6 +79,53 @@ def downsample_job(
     return chosen
 
 
+def downsample_association_job(
+    spark: SparkSession,
+    target: str,
+    *,
+    snps: str,
+    genes: str,
+    snp_loc: str,
+    gene_loc: str,
+    sizes: Sequence[int | None],
+    seeds: Sequence[int] = (2015,),
+    covariates: str | None = None,
+    chroms: Sequence[str] | None = None,
+    distance: int = 1_000_000,
+    p_cis: float = 1.0,
+    p_trans: float = 1e-80,
+) -> None:
+    """Cis and trans associations of several draws of the samples, a folder per draw and kind."""
+    table = downsample_association(
+        g.read_matrix(spark, snps), g.read_matrix(spark, genes), g.read_snp_locations(spark, snp_loc), g.read_gene_locations(spark, gene_loc),
+        g.read_covariates(spark, covariates), sizes=sizes, seeds=seeds, chroms=chroms, distance=distance, p_cis=p_cis, p_trans=p_trans,
+    )
+    write_table(table.drop("neg_log10_p"), target, header=True, partition_by=["subset", "kind"])
+
+
+def split_job(
+    spark: SparkSession, target: str, *, snps: str, genes: str, snp_loc: str, gene_loc: str, covariates: str | None = None,
+    size: int | None = None, seed: int = 2015,
+) -> None:
+    """Matrices, locations and covariates by chromosome, of all samples or of ``size`` of them: the inputs of one run per chromosome."""
+    variants, traits = g.read_matrix(spark, snps), g.read_matrix(spark, genes)
+    positions = pick_samples(variants.samples, size, seed)
+    chosen = [variants.samples[i] for i in positions]
+    snp_places, gene_places = g.read_snp_locations(spark, snp_loc), g.read_gene_locations(spark, gene_loc)
+    for name, matrix, places, key in (("snps", variants, snp_places, "snp"), ("genes", traits, gene_places, "gene")):
+        own = take_samples(matrix.rows, [matrix.samples.index(s) for s in chosen])
+        write_matrix_by_chromosome(by_chromosome(own, places, key), chosen, f"{target}/{name}")
+        write_by_chromosome(places, f"{target}/{key}_loc")
+    if covariates:
+        rows = g.read_covariates(spark, covariates)
+        # As many rows as a model has covariates, once for each chromosome.
+        chroms = [r["chr"] for r in snp_places.select("chr").unionByName(gene_places.select("chr")).distinct().limit(MAX_CHROMOSOMES + 1).collect()]
+        if len(chroms) > MAX_CHROMOSOMES:
+            raise ValueError(f"more than {MAX_CHROMOSOMES} chromosomes")
+        each = take_samples(rows, positions).select("id", "values", F.explode(F.array(*map(F.lit, chroms))).alias("chr"))
+        write_matrix_by_chromosome(each, chosen, f"{target}/covariates")
+
+
 def _features(
     spark: SparkSession,
     *,
@@ -90,34 +142,68 @@ def _features(
     distance: int,
     kb: int,
     features_to: str | None,
+    stages: Stages,
 ) -> DataFrame:
-    """Feature rows, from the latest stage that is given: ``features``, ``results``, or the matrices."""
+    """Feature rows, from the latest stage that is given: ``features``, a kept stage, ``results``, or the matrices."""
     if features:
         return spark.read.parquet(features)
-    if not snp_loc or not gene_loc or not contacts or not signal:
+    given = stages.given
+    spans_given = "spans" in given or {"contacts", "signal"} <= given and "features" in given
+    if not ((snp_loc and gene_loc) or spans_given) or not (contacts or "contacts" in given) or not (signal or "signal" in given):
         raise ValueError("give locations, contacts and signal, or features made earlier")
     if isinstance(contacts, str):
         if not region:
             raise ValueError("one contact file is of one chromosome: name it in region, or give a file per chromosome")
         contacts = {region.partition(":")[0]: contacts}
-    where_snps, where_genes = g.read_snp_locations(spark, snp_loc), g.read_gene_locations(spark, gene_loc)
-    if results:
-        found = g.read_results(spark, results)
-        if region:
-            chrom, low, high = parse_region(region)
-            found = found.join(in_region(where_snps, chrom, low, high).select("snp"), "snp", "left_semi")
-            found = found.join(in_region(where_genes, chrom).select("gene"), "gene", "left_semi")
-    else:
+    if contacts is None:
+        contacts = {}
+
+    def found() -> DataFrame:
+        where_snps, where_genes = g.read_snp_locations(spark, snp_loc), g.read_gene_locations(spark, gene_loc)
+        if results:
+            rows = g.read_results(spark, results)
+            if region:
+                chrom, low, high = parse_region(region)
+                rows = rows.join(in_region(where_snps, chrom, low, high).select("snp"), "snp", "left_semi")
+                rows = rows.join(in_region(where_genes, chrom).select("gene"), "gene", "left_semi")
+            return rows
         if not snps or not genes:
             raise ValueError("give both matrices or an existing result")
-        found = associate_region(
+        return associate_region(
             g.read_matrix(spark, snps).rows, g.read_matrix(spark, genes).rows, where_snps, where_genes,
             g.read_covariates(spark, covariates), region=region, distance=distance,
+        ).drop("neg_log10_p")
+
+    def spans() -> DataFrame:
+        return pair_spans(stages.table("associations"), g.read_snp_locations(spark, snp_loc), g.read_gene_locations(spark, gene_loc))
+
+    span = ["chr", "start", "end"]
+
+    def with_contacts() -> DataFrame:
+        rows = stages.table("spans")
+        return contact_lookup(rows.select(*span), g.read_contact_maps(spark, contacts), kb=kb, mapped=list(contacts))
+
+    def with_signal() -> DataFrame:
+        return attach_signal(stages.table("spans").select(*span), g.read_signal(spark, signal))
+
+    def joined() -> DataFrame:
+        # Spans are unique, so no key can be hot.
+        return complete_features(stages.table("spans").join(stages.table("contacts"), span).join(stages.table("signal"), span))
+
+    places = {"snp_loc": snp_loc, "gene_loc": gene_loc}
+    start = {"results": results} if results else {"snps": snps, "genes": genes, **({"covariates": covariates} if covariates else {})}
+    stages.add("associations", found, sources={**start, **places}, params={"region": region, "distance": distance})
+    stages.add("spans", spans, sources=places, after=["associations"])
+    stages.add("contacts", with_contacts, sources={"contacts": list(contacts.values()) or None}, params={"kb": kb, "mapped": sorted(contacts)} if contacts else {"kb": kb}, after=["spans"])
+    stages.add("signal", with_signal, sources={"signal": signal}, after=["spans"])
+    stages.add("features", joined, after=["spans", "contacts", "signal"])
+    if stages.folder:
+        table = stages.table("features")
+    else:
+        table = pair_features(
+            found(), g.read_snp_locations(spark, snp_loc), g.read_gene_locations(spark, gene_loc),
+            g.read_contact_maps(spark, contacts), g.read_signal(spark, signal), kb=kb, mapped=list(contacts),
         )
-    table = pair_features(
-        found, where_snps, where_genes, g.read_contact_maps(spark, contacts), g.read_signal(spark, signal),
-        kb=kb, mapped=list(contacts),
-    )
     if not features_to:
         return table
     table.write.mode("overwrite").parquet(features_to)
@@ -142,6 +228,8 @@ def detect_job(
     region: str | None = "chr1",
     distance: int = 1_000_000,
     kb: int = 1,
+    stages: str | None = None,
+    given: Sequence[str] = (),
 ) -> None:
     """From matrices, an existing result or existing features to re-scored, adjusted pairs.
 
@@ -149,10 +237,16 @@ def detect_job(
     a chromosome without one have no contact value (NULL, not 0). ``region`` limits an
     existing result as well; None takes all chromosomes. ``features_to`` keeps the features
     as Parquet for a later run with ``features``; those are taken whole.
+
+    ``stages`` is a folder that keeps the stages ``associations``, ``spans``, ``contacts``,
+    ``signal`` and ``features``: a later run takes those whose files, parameters and
+    predecessors are unchanged. Stages named in ``given`` are taken without being made; files
+    that only they need can be left out, and a stale one stops the job.
     """
+    kept = Stages(spark, stages, given)
     table = _features(
         spark, snps=snps, genes=genes, snp_loc=snp_loc, gene_loc=gene_loc, contacts=contacts, signal=signal, covariates=covariates,
-        results=results, features=features, region=region, distance=distance, kb=kb, features_to=features_to,
+        results=results, features=features, region=region, distance=distance, kb=kb, features_to=features_to, stages=kept,
     )
     write_fdr(detect(table, load_model(model)), target, "prediction", fdr="adjusted", log10=True)
 
@@ -161,7 +255,7 @@ def train_job(
     spark: SparkSession,
     target: str,
     *,
-    truth: str,
+    truth: str | None = None,
     snps: str | None = None,
     genes: str | None = None,
     snp_loc: str | None = None,
@@ -175,6 +269,8 @@ def train_job(
     region: str | None = "chr1",
     distance: int = 1_000_000,
     kb: int = 1,
+    stages: str | None = None,
+    given: Sequence[str] = (),
     key_cols: Sequence[int] = (1, 2),
     p_col: int = 5,
     fdr_col: int = 6,
@@ -187,14 +283,19 @@ def train_job(
 ) -> None:
     """Train from files: ``target`` gets ``model``, ``importance``, ``validation`` and, for k > 1, ``folds``.
 
-    The stages before are given as for detect_job; ``settings`` go to the boosted trees.
+    The stages before are given as for detect_job, with ``truth`` as one more; ``settings``
+    go to the boosted trees.
     """
+    kept = Stages(spark, stages, given)
     table = _features(
         spark, snps=snps, genes=genes, snp_loc=snp_loc, gene_loc=gene_loc, contacts=contacts, signal=signal, covariates=covariates,
-        results=results, features=features, region=region, distance=distance, kb=kb, features_to=features_to,
+        results=results, features=features, region=region, distance=distance, kb=kb, features_to=features_to, stages=kept,
     )
-    answers = g.read_truth(spark, truth, key_cols=key_cols, p_col=p_col, fdr_col=fdr_col)
-    rows = training_set(table, answers, threshold=threshold, positives=positives, negatives=negatives, seed=seed)
+    columns = {"key_cols": list(key_cols), "p_col": p_col, "fdr_col": fdr_col}
+    kept.add("truth", lambda: g.read_truth(spark, truth, **columns), sources={"truth": truth}, params=columns)
+    if truth is None and "truth" not in kept.given:
+        raise ValueError("give the truth, or name it as a given stage")
+    rows = training_set(table, kept.table("truth"), threshold=threshold, positives=positives, negatives=negatives, seed=seed)
     trained = train(rows, k=k, seed=seed, **settings)
     save_model(trained.model, f"{target}/model")
     write_table(trained.importance, f"{target}/importance", header=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pairlift.operators.annotate import gene_bed, pair_bed, snp_bed
 from pairlift.workspace import written
@@ -61,9 +61,22 @@ def write_matrix(rows: DataFrame, samples: Sequence[str], path: str) -> None:
 
     The row is one text column named by the header line, as columns are limited in number.
     """
+    _write_lines(rows.select(_matrix_line(samples)), path)
+
+
+def write_matrix_by_chromosome(rows: DataFrame, samples: Sequence[str], path: str) -> None:
+    """(id, values, chr) as a matrix per chromosome; every part file begins with the header."""
+    _write_lines(rows.select(_matrix_line(samples), "chr"), path, "chr")
+
+
+def _matrix_line(samples: Sequence[str]) -> Column:
     cells = F.transform("values", lambda v: F.coalesce(v.cast("string"), F.lit("NA")))
     line = F.concat_ws("\t", F.coalesce(F.col("id").cast("string"), F.lit("NA")), cells)
-    rows.select(line.alias("\t".join(["id", *samples]))).write.mode("overwrite").csv(
+    return line.alias("\t".join(["id", *samples]))
+
+
+def _write_lines(lines: DataFrame, path: str, *by: str) -> None:
+    lines.write.mode("overwrite").partitionBy(*by).csv(
         path, sep="\x01", quote="", header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     )
 

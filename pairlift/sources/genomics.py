@@ -31,6 +31,16 @@ def read_matrix(spark: SparkSession, path: str, sep: str = "\t") -> Matrix:
     return Matrix(_matrix_rows(spark.read.text(path), head, len(names), sep).select("id", "values"), names[1:])
 
 
+def read_matrices_by_chromosome(spark: SparkSession, path: str, sep: str = "\t") -> Matrix:
+    """The matrices of all chromosomes below ``path`` (folders chr=...) as rows (id, values, chr); they share one header."""
+    lines = spark.read.schema("value string, chr string").text(path)
+    head = lines.where(F.col("value") != "").select("value").first()
+    if head is None:
+        raise ValueError(f"no header in {path}")
+    names = head["value"].split(sep)
+    return Matrix(_matrix_rows(lines, head["value"], len(names), sep).select("id", "values", "chr"), names[1:])
+
+
 def _header(spark: SparkSession, path: str) -> str:
     first = spark.read.text(path).where(F.col("value") != "").first()
     if first is None:

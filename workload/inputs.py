@@ -51,6 +51,27 @@ def mean_covariate(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# The downsampling experiment: sizes drawn, and the chromosomes that take part.
+DRAWS, DRAW_CHROMS = [40, 53, None], ["c0", "c1", "c2", "c3", "c4"]
+
+
+def with_gaps(matrix: DataFrame, every: int) -> DataFrame:
+    """Without the cells whose position, moved on by the row's id, is divisible by ``every``."""
+    gap = lambda v, i: F.when((i + F.col("id").cast("long")) % every != 0, v)
+    return matrix.withColumn("values", F.transform("values", gap))
+
+
+def three_covariates(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines c, a, b: the mean of all vectors at each position, of those with an even label, and of those with an id divisible by 3."""
+    kept = {"c": F.lit(True), "a": F.col("label") % 2 == 0, "b": F.col("vec_id") % 3 == 0}
+    long = vectors(spark, sf).select("vec_id", "label", F.posexplode("values").alias("i", "v"))
+    means = long.groupBy("i").agg(*[F.avg(F.when(cond, F.col("v"))).alias(c) for c, cond in kept.items()])
+    rows = means.agg(*[F.array_sort(F.collect_list(F.struct("i", F.col(c).alias("v"))))["v"].alias(c) for c in kept])
+    return rows.select(F.posexplode(F.array(*[F.struct(F.lit(c).alias("id"), F.col(c).alias("values")) for c in kept])).alias("line", "r")).select(
+        "line", "r.id", "r.values"
+    )
+
+
 def variant_locations(spark: SparkSession, sf: str) -> DataFrame:
     v = vectors(spark, sf)
     return v.select(F.col("id").alias("snp"), F.concat(F.lit("c"), F.col("label").cast("string")).alias("chr"), (F.col("vec_id") * 1000).alias("pos"))

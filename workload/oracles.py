@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from workload.inputs import DISTANCE
+from pairlift.plans.downsample import draws
+from workload.inputs import DISTANCE, DRAW_CHROMS, DRAWS, SAMPLES
 
 LINE_KEY_SQL = "concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber)"
 
@@ -96,6 +97,49 @@ def near_sql(op: str) -> str:
       WHERE {op} (a.chr = b.chr AND a.pos BETWEEN b.pos + 200 - 20000 AND b.pos + 700 + 20000))"""
 
 
+def downsample_sql() -> str:
+    """Each draw tested on its own: vectors restricted to its positions, locations to the chromosomes."""
+    chroms = ", ".join(f"'{c}'" for c in DRAW_CHROMS)
+    spots = SPOTS.replace("FROM embeddings", f"FROM embeddings WHERE 'c' || label IN ({chroms})")
+    blocks = []
+    for name, at in draws(SAMPLES, DRAWS).items():
+        own = VEC.replace("g(i))", f"g(i) WHERE i IN ({', '.join(str(i + 1) for i in at)}))")
+        for kind, op, n, p in (("cis", "", "_all", 0.5), ("trans", "NOT", "_all", 0.01)):
+            tested = assoc(near_sql(op), "r", len(at) - 2, n=n, where=f"p_value <= {p}", head=own + PAIR + spots)
+            blocks.append(f"SELECT '{name}' AS subset, '{kind}' AS kind, * FROM ({tested})")
+    return " UNION ALL ".join(blocks)
+
+
+# Cells that with_gaps leaves, and row means in the gaps, as the engine fills them.
+GAPS = """
+  x0 AS (SELECT id, i, v FROM x WHERE (i - 1 + id::BIGINT) % 7 <> 0), y0 AS (SELECT id, i, v FROM y WHERE (i - 1 + id::BIGINT) % 11 <> 0),
+  xf AS (SELECT x.id, x.i, coalesce(x0.v, m.v) AS v FROM x JOIN (SELECT id, avg(v) AS v FROM x0 GROUP BY 1) m USING (id) LEFT JOIN x0 ON x0.id = x.id AND x0.i = x.i),
+  yf AS (SELECT y.id, y.i, coalesce(y0.v, m.v) AS v FROM y JOIN (SELECT id, avg(v) AS v FROM y0 GROUP BY 1) m USING (id) LEFT JOIN y0 ON y0.id = y.id AND y0.i = y.i)"""
+THREE = """
+  c3 AS (SELECT i, avg(v) AS c, avg(v) FILTER (WHERE label % 2 = 0) AS a, avg(v) FILTER (WHERE vec_id % 3 = 0) AS b
+         FROM x JOIN embeddings ON vec_id::VARCHAR = id GROUP BY i)"""
+
+
+def interaction_sql() -> str:
+    """Gram-Schmidt by hand: the basis 1, a, b, c, then the variant, then the product; the trait on what is left of the product."""
+    return f"""WITH {VEC}, {GAPS}, {THREE},
+      k1 AS (SELECT i, a - avg(a) OVER () AS a1, b - avg(b) OVER () AS b0, c - avg(c) OVER () AS c0, a FROM c3),
+      k2 AS (SELECT *, b0 - a1 * sum(b0 * a1) OVER () / sum(a1 * a1) OVER () AS b1 FROM k1),
+      k3 AS (SELECT *, c0 - a1 * sum(c0 * a1) OVER () / sum(a1 * a1) OVER () - b1 * sum(c0 * b1) OVER () / sum(b1 * b1) OVER () AS c1 FROM k2),
+      kk AS (SELECT *, sum(a1 * a1) OVER () AS qa, sum(b1 * b1) OVER () AS qb, sum(c1 * c1) OVER () AS qc FROM k3),
+      xz AS (SELECT id, i, v, v * a AS z, a1, b1, c1, qa, qb, qc FROM xf JOIN kk USING (i)),
+      x1 AS (SELECT id, i, a1, b1, c1, {_cleared('v')} AS v1, {_cleared('z')} AS z1 FROM xz WINDOW w AS (PARTITION BY id)),
+      x2 AS (SELECT id, i, v1, z1 - v1 * sum(z1 * v1) OVER w / sum(v1 * v1) OVER w AS z2 FROM x1 WINDOW w AS (PARTITION BY id)),
+      y1 AS (SELECT id, i, {_cleared('v')} AS v1 FROM yf JOIN kk USING (i) WINDOW w AS (PARTITION BY id)),
+      s AS (SELECT x2.id AS snp, y1.id AS gene, sum(x2.z2 * y1.v1) AS zy, sum(x2.z2 * x2.z2) AS zz, sum(x2.v1 * y1.v1) AS xy, sum(x2.v1 * x2.v1) AS xx, sum(y1.v1 * y1.v1) AS yy
+            FROM x2 JOIN y1 USING (i) GROUP BY 1, 2)
+      SELECT snp, gene, round(zy / zz, 6) AS beta, round(zy / zz / sqrt((yy - xy * xy / xx - zy * zy / zz) / 58.0 / zz), 6) AS t_stat FROM s"""
+
+
+def _cleared(v: str) -> str:
+    return f"{v} - avg({v}) OVER w - a1 * sum({v} * a1) OVER w / qa - b1 * sum({v} * b1) OVER w / qb - c1 * sum({v} * c1) OVER w / qc"
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["bh_fdr"] = f"WITH {LINE_P}, a AS ({bh('lp', 'p', tie='key')}) SELECT key, round(p, 8) AS p, round(fdr, 8) AS fdr FROM a"
@@ -140,6 +184,9 @@ def oracle_sql() -> dict[str, str]:
     )
     q["assoc_cis"] = assoc(near_sql(""), "r", 62, head=VEC + PAIR + SPOTS)
     q["assoc_trans"] = assoc(near_sql("NOT"), "r", 62, n="_all", where="p_value <= 0.01", head=VEC + PAIR + SPOTS)
+    q["assoc_trans_tight"] = assoc(near_sql("NOT"), "r", 62, n="_all", where="p_value <= 1e-4", head=VEC + PAIR + SPOTS)
+    q["assoc_covariates"] = interaction_sql()
+    q["downsample_assoc"] = downsample_sql()
     q["assoc_complete_cells"] = f"""WITH {VEC + PAIR + SPOTS} SELECT snp, gene, 64 AS n, round(r, 6) AS r, round(beta, 6) AS beta,
       round({t_of('r', 62)}, 6) AS t_stat FROM {near_sql('')}"""
     q["assoc_pvalue"] = f"SELECT {LINE_KEY_SQL} AS key, round({t_tail('((l_quantity - 25) / 5)', 10)}, 8) AS p_value FROM lineitem"
@@ -211,7 +258,7 @@ def oracle_sql() -> dict[str, str]:
     q["io_inferred"] = "SELECT p_partkey, p_brand, p_retailprice FROM part"
     q["io_matrix"] = q["matrix_melt"]
     q["io_locations"] = f"WITH {EVENTS} SELECT snp AS id, chr, pos AS start, pos AS \"end\" FROM pts UNION ALL SELECT gene, chr, s, e FROM reg"
-    q["io_results"] = f"WITH {EVENTS} SELECT snp, gene, round(beta, 6) AS beta, round(p_value, 8) AS p_value, round(fdr, 8) AS fdr FROM res"
+    q["io_results"] = f"WITH {EVENTS} SELECT snp, gene, round(beta, 6) AS beta, round(t_stat, 6) AS t_stat, round(p_value, 8) AS p_value, round(fdr, 8) AS fdr FROM res"
     q["io_beds"] = q["pair_beds"] + f""" UNION ALL SELECT 'pair', chr, st, en, NULL, snp, gene FROM loc"""
     q["io_truth"] = f"WITH {EVENTS} SELECT snp || '-' || gene AS key, round(p_value, 8) AS raw_p, round(fdr, 8) AS fdr FROM res"
     q["io_permutation_summary"] = "SELECT l_returnflag AS chr, l_partkey AS len, round(max(l_tax), 6) AS expected FROM lineitem GROUP BY 1, 2"
@@ -228,9 +275,12 @@ def oracle_sql() -> dict[str, str]:
     q["io_scored"] = f"SELECT {LINE_KEY_SQL} AS key, CASE WHEN l_discount > 0.02 THEN l_discount END AS hic, l_tax AS prediction FROM lineitem"
     q["io_predictions"] = "SELECT l_quantity AS f0, l_tax AS f1, l_extendedprice AS label, l_quantity * 1500 AS prediction FROM lineitem"
     q["io_fdr"] = q["bh_fdr"]
-    q["io_by_chromosome"] = f"WITH {EVENTS} SELECT snp, chr, pos FROM pts WHERE chr = 'click'"
-    q["io_contacts"] = f"WITH {RAW} SELECT b1 AS bin1, b2 AS bin2, round(v, 8) AS value FROM nor WHERE chr = 'R'"
-    q["io_cis_trans"] = f"""WITH {VEC + PAIR + SPOTS}, c AS (SELECT 'cis' AS kind, * FROM {near_sql('')}), t AS (SELECT 'trans' AS kind, * FROM {near_sql('NOT')}),
-      u AS (SELECT * FROM c UNION ALL SELECT * FROM t), w AS (SELECT *, {t_of('r', 62)} AS tt FROM u)
-      SELECT kind, snp, gene, round(beta, 6) AS beta FROM w WHERE kind = 'cis' OR {t_tail('tt', 62)} <= 0.001"""
+    q["io_by_chromosome"] = f"WITH {EVENTS} SELECT snp, chr, pos FROM pts"
+    q["io_matrix_by_chromosome"] = """SELECT 'c' || label AS chr, vec_id::VARCHAR AS id, 's' || (i - 1) AS sample,
+      CASE WHEN (i - 1 + vec_id) % 7 <> 0 THEN embedding[i]::DOUBLE END AS value FROM embeddings, generate_series(1, 64) g(i)"""
+    q["io_covariates"] = f"""WITH {VEC}, {THREE}, u AS (UNPIVOT c3 ON c, a, b INTO NAME id VALUE value)
+      SELECT id, CASE id WHEN 'c' THEN 1 WHEN 'a' THEN 2 ELSE 3 END AS place, CAST(i - 1 AS INT) AS i, round(value, 6) AS value FROM u"""
+    q["io_contacts"] = f"WITH {RAW} SELECT chr, b1 AS bin1, b2 AS bin2, round(v, 8) AS value FROM nor"
+    parts = [(kind, assoc(near_sql(op), "r", 62, n="_all", where=f"p_value <= {p}", head=VEC + PAIR + SPOTS)) for kind, op, p in (("cis", "", 1.0), ("trans", "NOT", 0.001))]
+    q["io_cis_trans"] = " UNION ALL ".join(f"SELECT '{kind}' AS kind, * FROM ({sql})" for kind, sql in parts)
     return q

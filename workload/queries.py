@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from pairlift.functions.scalars import composite_key, from_neg_log10, neg_log10
 from pairlift.functions.tdist import t_pvalue
@@ -14,6 +14,7 @@ from pairlift.operators import annotate, association, contacts, dedup, intervals
 from pairlift.operators.fdr import bh_adjust
 from pairlift.operators.methylation import methylation_matrix
 from pairlift.plans import rescoring
+from pairlift.plans.downsample import downsample_association
 from pairlift.sinks import tables as sink
 from pairlift.sources import delimited, genomics as g
 from pairlift.workspace import scratch_path, stable
@@ -114,6 +115,29 @@ def assoc_trans(spark, sf):
     return _assoc_out(association.trans_association(*_located(spark, sf), distance=20_000, p_max=0.01))
 
 
+@query
+def assoc_trans_tight(spark, sf):
+    """A threshold that few pairs reach: tiles that can't are skipped, their pairs counted as tests all the same."""
+    return _assoc_out(association.trans_association(*_located(spark, sf), distance=20_000, p_max=1e-4, prune=True, tile_rows=64))
+
+
+@query
+def assoc_covariates(spark, sf):
+    """Three covariates, an interaction with the first, and missing cells in both matrices."""
+    snps, genes = t.with_gaps(t.variant_matrix(spark, sf), 7), t.with_gaps(t.trait_matrix(spark, sf), 11)
+    out = association.interaction_association(snps, genes, t.three_covariates(spark, sf), interact="a", p_max=1.0)
+    return rounded(out.select("snp", "gene", "beta", "t_stat"), {"beta": 6, "t_stat": 6})
+
+
+@query
+def downsample_assoc(spark, sf):
+    snps, genes, snp_loc, gene_loc = _located(spark, sf)
+    both = g.Matrix(snps, t.SAMPLES), g.Matrix(genes, t.SAMPLES)
+    out = downsample_association(*both, snp_loc, gene_loc, sizes=t.DRAWS, chroms=t.DRAW_CHROMS, distance=20_000, p_cis=0.5, p_trans=0.01)
+    cols = ["subset", "kind", "snp", "gene", "beta", "t_stat", "p_value", "fdr"]
+    return rounded(out.select(*cols), {c: 6 for c in cols[4:]})
+
+
 @query
 def assoc_complete_cells(spark, sf):
     snps, genes, snp_loc, gene_loc = _located(spark, sf)
@@ -455,7 +479,7 @@ def io_locations(spark, sf):
 def io_results(spark, sf):
     path = scratch_path(spark, "results")
     sink.write_table(t.event_results(spark, sf), path, header=True)
-    return rounded(g.read_results(spark, path).drop("t_stat"), {"beta": 6, "p_value": 8, "fdr": 8})
+    return rounded(g.read_results(spark, path), {"beta": 6, "t_stat": 6, "p_value": 8, "fdr": 8})
 
 
 @query
@@ -568,15 +592,37 @@ def io_fdr(spark, sf):
 def io_by_chromosome(spark, sf):
     path = scratch_path(spark, "by-chr")
     sink.write_by_chromosome(t.event_points(spark, sf).select("snp", "chr", "pos"), path)
-    rows = delimited.read_table(spark, path, "snp string, pos long, chr string", header=True)
-    return rows.where(F.col("chr") == "click").select("snp", "chr", "pos")
+    return delimited.read_table(spark, path, "snp string, pos long, chr string", header=True).select("snp", "chr", "pos")
+
+
+@query
+def io_matrix_by_chromosome(spark, sf):
+    path = scratch_path(spark, "matrix-by-chr")
+    rows = matrices.by_chromosome(t.with_gaps(t.variant_matrix(spark, sf), 7), t.variant_locations(spark, sf), "snp")
+    sink.write_matrix_by_chromosome(rows, t.SAMPLES, path)
+    matrix = g.read_matrices_by_chromosome(spark, path)
+    names = F.array(*map(F.lit, matrix.samples))
+    return matrix.rows.select("chr", "id", F.posexplode("values").alias("i", "value")).select(
+        "chr", "id", F.element_at(names, F.col("i") + 1).alias("sample"), "value"
+    )
+
+
+@query
+def io_covariates(spark, sf):
+    path = scratch_path(spark, "covariates")
+    sink.write_matrix(t.three_covariates(spark, sf).coalesce(1), t.SAMPLES, path)
+    cells = g.read_covariates(spark, path).select("line", "id", F.posexplode("values").alias("i", "value"))
+    # The order of the file is that of its lines.
+    place = F.dense_rank().over(Window.partitionBy("i").orderBy("line"))
+    return rounded(cells.select("id", place.alias("place"), "i", "value"), {"value": 6})
 
 
 @query
 def io_contacts(spark, sf):
     path = scratch_path(spark, "contacts")
     sink.write_contacts(contacts.normalise_contacts(t.raw_contacts(spark, sf), t.norm_vector(spark, sf)), path)
-    return rounded(g.read_sparse_contacts(spark, f"{path}/chr=R", "R").drop("chr"), {"value": 8})
+    chroms = [r["chr"] for r in t.raw_contacts(spark, sf).select("chr").distinct().collect()]
+    return rounded(g.read_contact_maps(spark, {c: f"{path}/chr={c}" for c in chroms}), {"value": 8})
 
 
 @query
@@ -586,4 +632,4 @@ def io_cis_trans(spark, sf):
     sink.write_cis_trans(both.select("kind", "snp", "gene", "beta", "t_stat", "p_value", "fdr"), path)
     schema = "snp string, gene string, beta double, t_stat double, p_value double, fdr double, kind string"
     rows = delimited.read_table(spark, path, schema, header=True)
-    return rounded(rows.select("kind", "snp", "gene", "beta"), {"beta": 6})
+    return rounded(rows.select("kind", "snp", "gene", "beta", "t_stat", "p_value", "fdr"), {c: 6 for c in ("beta", "t_stat", "p_value", "fdr")})
