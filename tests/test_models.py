@@ -106,3 +106,32 @@ def test_counters(spark, tmp_path):
     df, seen = quality.counted(spark.range(17).toDF("id"), "seen")
     df.write.parquet(str(tmp_path / "x"))
     assert seen.get == {"rows": 17}
+
+
+@pytest.mark.parametrize("kind", ["gbt", "rf"])
+def test_trees_do_not_depend_on_the_layout(spark, data, kind, rows):
+    """One partition or eight, planned small or large: the same trees."""
+    how = dict(kind=kind, categorical=["c"], trees=6, depth=4, step=0.3, validation_col="is_validation" if kind == "gbt" else None)
+    one, many = (models.fit_regression(data.repartition(n), ["a", "b"], **how) for n in (1, 8))
+    assert one.stages[-1].toDebugString.split("\n")[1:] == many.stages[-1].toDebugString.split("\n")[1:]
+    two = data.selectExpr("*", "if(a > 0.4, 'x', 'y') y")
+    one, many = (models.fit_classifier(two.repartition(n), ["a", "b"], "y", trees=4, kind=kind) for n in (1, 8))
+    assert rows(models.score(one, two), "key", "prediction") == rows(models.score(many, two), "key", "prediction")
+
+
+@pytest.mark.parametrize("kind", ["gbt", "rf"])
+def test_concurrent_folds_equal_folds_one_by_one(data, kind, rows):
+    folds = sampling.with_fold(data.drop("is_validation"), ["key"], k=4)
+    how = dict(k=4, kind=kind, categorical=["c"], trees=5, depth=3, step=0.3)
+    one, metrics, summary = models.cross_validate(folds, ["a", "b"], concurrent=1, **how)
+    two, again, _ = models.cross_validate(folds.repartition(7), ["a", "b"], concurrent=4, **how)
+    got, want = ({r["fold"]: (r["n"], r["mse"], r["r2"]) for r in m.collect()} for m in (again, metrics))
+    assert got.keys() == want.keys() and all(got[f] == pytest.approx(want[f], rel=1e-9) for f in want)
+    assert rows(models.score(one, data), "key", "prediction") == rows(models.score(two, data), "key", "prediction")
+    assert summary.first()["best_r2"] == max(v[2] for v in want.values())
+
+
+def test_few_rows_a_leaf(data):
+    deep = models.fit_regression(data, ["a"], kind="rf", trees=1, depth=8, min_rows=1)
+    flat = models.fit_regression(data, ["a"], kind="rf", trees=1, depth=8, min_rows=300)
+    assert flat.stages[-1].totalNumNodes < deep.stages[-1].totalNumNodes

@@ -252,6 +252,19 @@ def oracle_sql() -> dict[str, str]:
     q["train_valid_split"] = f"""SELECT {LINE_KEY_SQL} AS key, CAST({u32(LINE_KEY_SQL, 12345)} / 4294967296.0 < 0.1 AS INT) AS is_validation FROM lineitem"""
     q["run_counters"] = "SELECT count(*) AS total, count(DISTINCT l_orderkey) AS kept FROM lineitem"
 
+    # Models whose answer is known.
+    level = "CASE l_returnflag WHEN 'A' THEN 1.0 WHEN 'N' THEN 2.5 ELSE 4.0 END::DOUBLE"
+    q["gbt_group_means"] = f"""SELECT {LINE_KEY_SQL} AS key, l_returnflag AS c, round(avg({level} + l_quantity % 7) OVER (PARTITION BY l_returnflag), 6) AS prediction FROM lineitem"""
+    q["gbt_early_stop"] = f"""SELECT {LINE_KEY_SQL} AS key, {u32(LINE_KEY_SQL, 12345)} / 4294967296.0 < 0.1 AS is_validation, {level} AS prediction, true AS few_trees FROM lineitem"""
+    q["rf_levels"] = f"SELECT {LINE_KEY_SQL} AS key, l_returnflag AS c, {level} AS prediction FROM lineitem"
+    q["classes_by_category"] = f"""SELECT {LINE_KEY_SQL} AS key, 'is-' || l_returnflag AS forest, CASE WHEN l_returnflag = 'N' THEN 'new' ELSE 'old' END AS boosted FROM lineitem"""
+    q["kfold_levels"] = f"""SELECT CAST({u32(LINE_KEY_SQL, 12345)} % 10 AS INT) AS fold, count(*) AS n, 0.0::DOUBLE AS mse, 1.0::DOUBLE AS r2 FROM lineitem GROUP BY 1"""
+    q["importance_of_category"] = "SELECT * FROM (VALUES ('zero__v', 0.0::DOUBLE), ('zero__na', 0.0), ('c__i', 1.0)) v(feature, importance) WHERE EXISTS (FROM lineitem)"
+    q["missing_is_a_value"] = f"SELECT {LINE_KEY_SQL} AS key, CASE l_returnflag WHEN 'R' THEN 4.0 ELSE 1.0 END::DOUBLE AS prediction FROM lineitem"
+    q["model_round_trip"] = f"SELECT {LINE_KEY_SQL} AS key, l_quantity, true AS same FROM lineitem"
+    q["detect_levels"] = f"""WITH p AS (SELECT {LINE_KEY_SQL} AS key, {level} AS prediction, power(10, -{level}) AS p FROM lineitem), a AS ({bh('p', 'p', tie='key')})
+      SELECT key, prediction, round(fdr, 6) AS adjusted FROM a"""
+
     # Written and read back.
     q["io_columns"] = f"SELECT {LINE_KEY_SQL} AS \"I1\", l_quantity AS \"C2\", l_tax AS \"C3\", l_returnflag AS \"C4\", l_extendedprice AS label FROM lineitem"
     q["io_vectors"] = "SELECT l_quantity AS f1, l_tax AS f2, l_extendedprice AS label FROM lineitem"

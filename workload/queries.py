@@ -431,6 +431,97 @@ def train_plan(spark, sf):
     return rescoring.train(rows, k=2, **SMALL).validation
 
 
+# Fits whose answer is known: a category decides the label, alone or up to noise that has its own mean.
+# All settings are the operators' defaults: 100 trees of depth 5, 100 bins.
+
+
+def _known(spark, sf):
+    """(key, c, zero, level, noisy): ``level`` follows from c, ``noisy`` scatters around a mean per c; ``zero`` tells nothing."""
+    rows = t.table(spark, sf, "lineitem")
+    level = F.when(F.col("l_returnflag") == "A", 1.0).when(F.col("l_returnflag") == "N", 2.5).otherwise(4.0)
+    return rows.select(
+        composite_key(t.LINE_KEY).alias("key"), F.col("l_returnflag").alias("c"), F.lit(0.0).alias("zero"), level.alias("level"),
+        (level + F.col("l_quantity") % 7).alias("noisy"),
+    )
+
+
+@query
+def gbt_group_means(spark, sf):
+    rows = _known(spark, sf)
+    model = models.fit_regression(rows, ["zero"], "noisy", categorical=["c"])
+    return rounded(models.score(model, rows.drop("noisy")).select("key", "c", "prediction"), {"prediction": 6})
+
+
+@query
+def gbt_early_stop(spark, sf):
+    """Held-out rows end the boosting once nothing improves: here the first tree is right."""
+    rows = sampling.with_validation(_known(spark, sf), ["key"])
+    model = models.fit_regression(rows, ["zero"], "level", categorical=["c"], validation_col="is_validation")
+    scored = rounded(models.score(model, rows), {"prediction": 6}).select("key", "is_validation", "prediction")
+    return scored.withColumn("few_trees", F.lit(model.stages[-1].getNumTrees < 10))
+
+
+@query
+def rf_levels(spark, sf):
+    rows = _known(spark, sf)
+    model = models.fit_regression(rows, [], "level", kind="rf", categorical=["c"])
+    return rounded(models.score(model, rows.drop("level")).select("key", "c", "prediction"), {"prediction": 6})
+
+
+@query
+def classes_by_category(spark, sf):
+    """Both classifiers on classes that the category decides; a missing category is a category of its own."""
+    rows = _known(spark, sf).withColumns({"three": F.concat(F.lit("is-"), F.col("c")), "two": F.when(F.col("c") == "N", "new").otherwise("old")})
+    rows = rows.withColumn("c", F.when(F.col("c") != "R", F.col("c")))
+    forest = models.fit_classifier(rows, ["zero"], "three", categorical=["c"])
+    boosted = models.fit_classifier(rows, ["zero"], "two", categorical=["c"], kind="gbt", trees=20)
+    three = models.score(forest, rows).withColumnRenamed("prediction", "forest")
+    return models.score(boosted, three).select("key", "forest", F.col("prediction").alias("boosted"))
+
+
+@query
+def kfold_levels(spark, sf):
+    """Ten folds: each row is held out once, and each fit on the nine others is right."""
+    rows = sampling.with_fold(_known(spark, sf), ["key"])
+    metrics = models.cross_validate(rows, [], "level", categorical=["c"], kind="rf", trees=20)[1]
+    return rounded(metrics.select("fold", "n", "mse", "r2"), {"mse": 6, "r2": 6})
+
+
+@query
+def importance_of_category(spark, sf):
+    model = models.fit_regression(_known(spark, sf), ["zero"], "level", kind="rf", categorical=["c"])
+    return rounded(models.feature_importance(model, spark), {"importance": 6})
+
+
+@query
+def missing_is_a_value(spark, sf):
+    """A feature that is NULL or NaN tells by being missing."""
+    rows = _known(spark, sf).withColumn("gone", F.when(F.col("c") == "A", None).when(F.col("c") == "N", float("nan")).otherwise(3.0))
+    rows = rows.withColumn("level", F.when(F.col("c") == "R", 4.0).otherwise(1.0))
+    model = models.fit_regression(rows, ["gone"], "level", kind="rf", trees=10)
+    return rounded(models.score(model, rows).select("key", "prediction"), {"prediction": 6})
+
+
+@query
+def model_round_trip(spark, sf):
+    """A saved model replaces an older one and scores as before it was saved; ids and other columns stay."""
+    rows = t.line_features(spark, sf)
+    path = scratch_path(spark, "model")
+    models.save_model(models.fit_regression(rows, NUMERIC, kind="rf", trees=2, depth=2), path)
+    model = models.fit_regression(rows, NUMERIC, kind="rf", trees=10)
+    models.save_model(model, path)
+    before = models.score(model, rows).withColumnRenamed("prediction", "before")
+    return models.score(models.load_model(path), before).select("key", "l_quantity", (F.col("prediction") == F.col("before")).alias("same"))
+
+
+@query
+def detect_levels(spark, sf):
+    """Scores and their false discovery rate where the score of each row is known."""
+    rows = _known(spark, sf)
+    model = models.fit_regression(rows, [], "level", kind="rf", categorical=["c"], trees=10)
+    return rounded(rescoring.detect(rows.drop("level"), model).select("key", "prediction", "adjusted"), {"prediction": 6, "adjusted": 6})
+
+
 # --- files: written from the driver tables, read back -----------------------------
 
 
