@@ -64,7 +64,8 @@ def _name_blocks(blocks: DataFrame) -> DataFrame:
     """(uid, pos, n_blocks, name) of all blocks; the text is shuffled once, after equal blocks of a task became one."""
     places = blocks.select("uid", "pos", "n_blocks", "route")
     names = staged(_names(blocks.select("route", "block").distinct(), ["block"]).select("route", "name"), "block-names")
-    owners = names.groupBy("route").agg(F.count(F.lit(1)).alias("n"), F.max("name").alias("name"))
+    # Written before it is joined back: then a block that very many texts share can be split.
+    owners = staged(names.groupBy("route").agg(F.count(F.lit(1)).alias("n"), F.max("name").alias("name")), "block-owners")
     plain = places.join(owners.filter("n = 1").select("route", "name"), "route")
     cols = ["uid", "pos", "n_blocks", "name"]
     # As a rule no two blocks share a route; then the text isn't shuffled again to find that out.
@@ -117,7 +118,8 @@ def groups(ident: DataFrame) -> DataFrame:
     best = ident.groupBy("level", "name").agg(
         F.count(F.lit(1)).alias("group_size"), F.max(_rank(F.col("uid"), F.col("doc_id"), F.col("n_points"))).alias("best")
     )
-    return ident.join(best, ["level", "name"]).select(
+    # Written before it is joined back, so that the rows of a very large group can be split.
+    return ident.join(staged(best, "kept-rows"), ["level", "name"]).select(
         "uid",
         "doc_id",
         F.bitwise_not(F.col("best.id")).alias("keep_id"),

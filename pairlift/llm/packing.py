@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -38,10 +40,22 @@ TOKEN_SLICE_BYTES = 4 << 20
 _PIECES = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
 _PIECES_DDL = "uid long, doc_id long, piece int, start long, length long, ids binary"
 
-# Where a word ends before marks that end the chunk: the tokenizer parts them, so a space there changes nothing.
+# Where a word ends before marks that end the chunk: the tokenizer parts them, so a space there changes nothing
+# unless what it makes of the last letter ends in a combining mark, which goes with the marks.
 WORD_END = r"([\p{L}\p{N}])([.,;:!?]+)( |$)"
 
 
+@lru_cache(maxsize=4)
+def joining_letters(tokenizer) -> str | None:
+    """A pattern of the letters and digits whose normal form in ``tokenizer`` doesn't end in a letter or digit; None: there are none."""
+    letters = [c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c)[0] in "LN"]
+    forms = tokenizer.normalizer.normalize_str(" ".join(letters)).split(" ") if tokenizer.normalizer else letters
+    if len(forms) != len(letters):
+        raise ValueError("the tokenizer's normaliser makes white space of letters")
+    joining = [a for a, form in zip(letters, forms, strict=True) if not form or unicodedata.category(form[-1])[0] not in "LN"]
+    return "[" + "".join(joining) + "]" if joining else None
+
+
 class ChunkTokenizer:
     """Token ids of texts whose tokenizer drops white space and never joins what it parts, nor words and marks.
 
@@ -63,6 +77,7 @@ class ChunkTokenizer:
         self.tokenizer.encode_special_tokens = True
         letters = "A B C D E F G H I J K L M N O P Q R S T U V W X Y Z"
         self.lower_cases = self.tokenizer.encode(letters).ids == self.tokenizer.encode(letters.lower()).ids
+        self.joining = joining_letters(self.whole)
         self.keep = keep
         self._clear()
 
@@ -103,7 +118,9 @@ class ChunkTokenizer:
         # The tokenizer lower-cases; doing so for A-Z first leaves fewer different chunks.
         if self.lower_cases:
             texts = pc.ascii_lower(texts)
-        texts = pc.replace_substring_regex(pc.replace_substring(texts, "\n", " "), WORD_END, r"\1 \2\3")
+        texts = pc.replace_substring(texts, "\n", " ")
+        parted = pc.replace_substring_regex(texts, WORD_END, r"\1 \2\3")
+        texts = parted if self.joining is None else pc.if_else(pc.match_substring_regex(texts, self.joining), texts, parted)
         lists = pc.split_pattern(texts, " ")
         counts = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         coded = lists.flatten().dictionary_encode()

@@ -14,7 +14,6 @@ def tokens(text):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     return [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
 
 
@@ -108,3 +107,20 @@ def test_length_outside_capacity():
 
 def test_empty_table(make_docs):
     assert packing.pack_documents(make_docs([]), PATH).collect() == []
+
+
+def test_every_letter_before_a_mark_is_coded_as_by_the_tokenizer():
+    """Some letters' normal forms end in a combining mark, which the tokenizer joins with punctuation."""
+    import sys
+    import unicodedata
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(PATH)
+    letters = [c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c)[0] in "LN"]
+    texts = [f"a{c}. b {c}, {c.upper()}!? x" for c in letters]
+    got = packing.ChunkTokenizer(PATH).encode(pa.array(texts))
+    want = plain.encode_batch(texts, add_special_tokens=False)
+    assert all(g.tolist() == w.ids for g, w in zip(got, want, strict=True))
+    assert "\u09df" in packing.joining_letters(plain) and "e" not in packing.joining_letters(plain)

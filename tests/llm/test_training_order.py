@@ -16,7 +16,6 @@ def _tokenizer():
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     return tokenizer
 
 
