@@ -115,9 +115,10 @@ class ChunkTokenizer:
         return ids
 
     def _by_chunks(self, texts: pa.Array) -> list[np.ndarray]:
-        # The tokenizer lower-cases; doing so for A-Z first leaves fewer different chunks.
+        # The tokenizer lower-cases; doing so for A-Z first leaves fewer different chunks. It composes letters
+        # and marks before, so letters with a mark of their own stay as they are.
         if self.lower_cases:
-            texts = pc.ascii_lower(texts)
+            texts = pc.if_else(pc.match_substring_regex(texts, r"[A-Z]\p{M}"), texts, pc.ascii_lower(texts))
         texts = pc.replace_substring(texts, "\n", " ")
         parted = pc.replace_substring_regex(texts, WORD_END, r"\1 \2\3")
         texts = parted if self.joining is None else pc.if_else(pc.match_substring_regex(texts, self.joining), texts, parted)
