@@ -165,6 +165,29 @@ def test_adjacent_distinct_over_bucket_edges(spark, buckets):
     assert got == [i for i, k in enumerate(keys) if i == 0 or keys[i - 1] != k]
 
 
+def test_adjacent_distinct_takes_any_keys_in_one_exchange(spark, monkeypatch):
+    """Null equals null and NaN equals NaN, lists compare, single rows and empty tables pass; the rows are shuffled once."""
+    import math
+
+    from pairlift.operators import dedup
+
+    rng = random.Random(4)
+    pool = [(None, 1.0, [1]), ("a", None, [1]), ("a", math.nan, None), ("a", math.nan, [1, 2]), ("b", 0.0, [1])]
+    keys = [rng.choice(pool) for _ in range(400)]
+    df = spark.createDataFrame([(i, *k) for i, k in enumerate(keys)], "line int, k string, x double, l array<int>").repartition(5)
+    same = lambda a, b: repr(a) == repr(b)
+    plans = []
+    real = dedup.stable
+    monkeypatch.setattr(dedup, "stable", lambda d, label: plans.append(d._jdf.queryExecution().executedPlan().toString()) or real(d, label))
+    for cols in (["k"], ["x"], ["l"], ["k", "x", "l"]):
+        at = [("k", "x", "l").index(c) for c in cols]
+        got = sorted(r["line"] for r in adjacent_distinct(df, cols, ["line"], buckets=7).collect())
+        assert got == [i for i, k in enumerate(keys) if i == 0 or not same([k[j] for j in at], [keys[i - 1][j] for j in at])]
+    assert all(p.count("Exchange rangepartitioning") == 1 and "hashpartitioning" not in p for p in plans)
+    assert adjacent_distinct(df.where("line = 3"), ["k"], ["line"]).count() == 1
+    assert adjacent_distinct(df.where("line < 0"), ["k"], ["line"]).count() == 0
+
+
 def test_first_per_key_does_not_depend_on_layout(spark, rows):
     rng = random.Random(2)
     data = [(rng.randrange(4) if i % 3 else 9, rng.random(), i) for i in range(2000)]
