@@ -90,6 +90,14 @@ def fit_regression(
     return Pipeline(stages=[*_feature_stages(features, categorical), model]).fit(laid_out(train.select(*dict.fromkeys(used)), partitions))
 
 
+def _without_summaries(model: PipelineModel) -> PipelineModel:
+    """Training summaries hold the session, which tasks that score would have to serialise."""
+    for stage in model.stages:
+        if getattr(stage, "hasSummary", False):
+            stage._java_obj.setSummary(SparkSession.active()._jvm.scala.Option.empty())
+    return model
+
+
 def fit_classifier(
     train: DataFrame,
     features: Sequence[str],
@@ -123,7 +131,7 @@ def fit_classifier(
         model = RandomForestClassifier(numTrees=trees, impurity="entropy", **out, **shared)
     decode = IndexToString(inputCol="prediction__i", outputCol="prediction", labels=names.labels)
     prepared = names.transform(laid_out(train.select(*dict.fromkeys([*features, *categorical, label])), partitions))
-    return Pipeline(stages=[*_feature_stages(features, categorical), model, decode]).fit(prepared)
+    return _without_summaries(Pipeline(stages=[*_feature_stages(features, categorical), model, decode]).fit(prepared))
 
 
 def score(model: PipelineModel, df: DataFrame, keep_features: bool = False) -> DataFrame:
