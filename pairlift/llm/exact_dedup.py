@@ -143,7 +143,12 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def drop_exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with the kept row of each group only, all columns as they were."""
+    """``docs`` with the kept row of each group only, all columns as they were.
+
+    Null texts count as empty, and of all texts without other characters one row stays. Ties
+    of length go to the smaller id, a null one last; of repeated rows one stays. Texts are
+    read whole. No rows: no rows. Columns of any name pass through.
+    """
     uid = fresh_name(docs.columns, "uid")
     tagged = staged(docs.withColumn(uid, F.monotonically_increasing_id()), "tagged")
     bare = id_and_text(tagged, id_col, text_col, uid)

@@ -332,7 +332,12 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
 
 
 def drop_near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component, all columns as they were."""
+    """``docs`` with one row of each component, the one of the smallest id, all columns as they were.
+
+    Null and empty texts have no shingles and all stay. Of repeated rows, and of rows with the
+    same smallest id, one stays; a null id comes after all others. Texts are read whole. No rows:
+    no rows. Columns of any name pass through.
+    """
     uid = fresh_name(docs.columns, "uid")
     tagged = staged(docs.withColumn(uid, F.monotonically_increasing_id()), "tagged")
     found = near_duplicate_groups(id_and_text(tagged, id_col, text_col, uid), width=width, percent=percent)

@@ -191,7 +191,12 @@ def quality_scores(docs: DataFrame, model: Model, *, threshold: float = THRESHOL
 
 
 def keep_good(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score at least ``threshold``, all columns as they were."""
+    """The rows of ``docs`` that score at least ``threshold``, all columns as they were.
+
+    Null and empty texts score the model's bias; texts are read whole. Equal texts stay or go
+    together, so repeated rows stay repeated. Ids are not looked at and may be null. No rows: no
+    rows. Columns of any name pass through.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

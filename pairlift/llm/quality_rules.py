@@ -153,7 +153,12 @@ def quality_rules(docs: DataFrame, bands: tuple[Band, ...] = BANDS, *, id_col: s
 
 
 def keep_by_rules(docs: DataFrame, bands: tuple[Band, ...] = BANDS, *, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text is kept, all columns as they were."""
+    """The rows of ``docs`` whose text is kept, all columns as they were.
+
+    Null and empty texts have no words and go. Texts are measured whole. Equal texts stay or go
+    together, so repeated rows stay repeated. Ids are not looked at and may be null. No rows: no
+    rows. Columns of any name pass through.
+    """
 
     @F.pandas_udf("boolean")
     def kept(text: pd.Series) -> pd.Series:
