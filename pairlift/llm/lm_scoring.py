@@ -9,16 +9,19 @@ more than the word's own count. The mass that false positives are expected to ad
 the denominator, and hashes are added with the logarithm of the number of words, so that it
 doesn't grow with them.
 
-The filter is a table of segments, as many as the tokens need at SEGMENT_BYTES each. Nobody
-holds all of it: pairs of the texts, packed by segment, are sorted behind the segment's row and
-probed as they stream by. Only where ``size`` is given is the model a bounded one, whose filter
+The filter is cut by the leading bits of a pair's hash into buckets of SEGMENTS_EACH segments, as
+many as the tokens need at SEGMENT_BYTES a segment. Nobody holds all of it, and no pair
+occurrence travels: a block of texts sends each of its different pairs to the pair's bucket
+once, with its count in the block's training texts; the bucket fills its segments, looks all
+pairs up and answers one level each. Blocks and answers meet in one more shuffle, where all of a
+text's score is computed. So a pair that every text has is one entry a block. Only where ``size`` is given is the model a bounded one, whose filter
 is broadcast: bigrams over the ``size`` most frequent words and one class for all others,
 with a word's own unigram share of the class. V such words give at most (V + 3)^2 pairs, and
 N tokens at most pairs * (1 + log(N / pairs) / log(base)) entries: for V = 2048 and 2 * 10^13
 tokens (about 100 TB of text) 39 million levels a million pairs, 300 MB in all.
 
 Unigram counts of all words are exact. They stay in a table: the most frequent ones, at most
-``hot_words`` short words, go to the tasks, all others are joined by word.
+``hot_words`` short words, go to the tasks, all others are joined by word, once for each block.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from pairlift.llm.common import Words, crc32_of_id, id_and_text, mix64, slices, staged
@@ -44,8 +49,10 @@ DIRICHLET = 300.0
 PAIRS_HELD = 2_000_000
 # Words for which HASHES hashes are enough; each doubling takes one more.
 WORDS_PER_HASHES = 2048
-# Segments for each shuffle partition, at least: partitions get about as many each.
+# Segments of a bucket; it has about SEGMENT_BYTES for each of them, at most.
 SEGMENTS_EACH = 8
+# Bits of a pair's hash that a bucket looks at; 10^6 pairs there make one of 10^8 absent ones look like another.
+KEY_BITS = 48
 START, END = np.uint64(1), np.uint64(2)
 
 
@@ -71,12 +78,21 @@ class LogFrequencyFilter:
         return (mix64(keys ^ np.uint64(0x5BF03635)) % np.uint64(n_segments)).astype(np.int64)
 
     @staticmethod
-    def _bits(keys: np.ndarray, level: int, bits: int, hashes: int = HASHES) -> Iterator[np.ndarray]:
+    def _first_and_step(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
         with np.errstate(over="ignore"):
             first = mix64(keys * np.uint64(0x9E3779B97F4A7C15) + np.uint64(level))
-            step = mix64(first ^ np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
-            for k in range(hashes):
-                yield ((first + np.uint64(k) * step) >> np.uint64(16)).astype(np.int64) % bits
+            return first, mix64(first ^ np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
+
+    @staticmethod
+    def _bit(first: np.ndarray, step: np.ndarray, k: int, bits: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((first + np.uint64(k) * step) >> np.uint64(16)).astype(np.int64) % bits
+
+    @classmethod
+    def _bits(cls, keys: np.ndarray, level: int, bits: int, hashes: int = HASHES) -> Iterator[np.ndarray]:
+        first, step = cls._first_and_step(keys, level)
+        for k in range(hashes):
+            yield cls._bit(first, step, k, bits)
 
     @classmethod
     def add(cls, segment: np.ndarray, keys: np.ndarray, levels: np.ndarray) -> None:
@@ -104,10 +120,12 @@ class LogFrequencyFilter:
         left = np.arange(len(keys))
         level = 1
         while len(left):
-            alive = np.ones(len(left), bool)
-            for bit in self._bits(keys[left], level, 8 * self.segments.shape[1], self.hashes):
-                alive &= (self.segments[where[left], bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
-            left = left[alive]
+            first, step = self._first_and_step(keys[left], level)
+            for k in range(self.hashes):
+                bit = self._bit(first, step, k, 8 * self.segments.shape[1])
+                hit = (self.segments[where[left], bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
+                if not hit.all():
+                    left, first, step = left[hit], first[hit], step[hit]
             out[left] = level
             level += 1
         return out
@@ -195,6 +213,10 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def word_counts(texts: DataFrame) -> DataFrame:
     """(word, n) of all texts, as a written table."""
     counts = texts.select("text").mapInArrow(_count_words, "word string, n long")
+    return _summed_words(counts)
+
+
+def _summed_words(counts: DataFrame) -> DataFrame:
     return staged(counts.groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
 
 
@@ -365,265 +387,246 @@ def word_pairs(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys, np.repeat(np.arange(n), words.counts + 1), word
 
 
-def segment_of(keys: np.ndarray, n_segments: int) -> np.ndarray:
-    """Segments follow the order of keys; at most 2^31 of them."""
-    return (((keys >> np.uint64(32)) * np.uint64(n_segments)) >> np.uint64(32)).astype(np.int64)
+_BLOCKS_DDL = "block long, rows binary"
 
 
-def _pair_counts(n_segments: int):
-    """(segment, pair, n) of each task, keys as signed numbers."""
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each slice as one compressed Arrow stream, under a number of its own."""
+    task = TaskContext.get().partitionId()
+    for i, part in enumerate(slices(batches)):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+            stream.write_batch(part)
+        yield pa.RecordBatch.from_arrays([pa.array([(task << 33) + i], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "rows"])
 
-    def rows(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(segment_of(keys, n_segments)), pa.array(keys.view(np.int64)), pa.array(n, pa.int64())], names=["segment", "pair", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        for part in slices(batches):
-            held.append(np.unique(word_pairs(Words(part.column("text"), lower=True))[0], return_counts=True))
-            if sum(len(k) for k, _ in held) > PAIRS_HELD:
-                held = [_summed(held)]
-                if len(held[0][0]) > PAIRS_HELD // 2:
-                    yield rows(*held.pop())
-        if held:
-            yield rows(*_summed(held))
+def _opened(rows: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(rows).read_next_batch()
 
-    return run
 
+def _each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    for batch in batches:
+        for block, rows in zip(batch.column("block").to_pylist(), batch.column("rows"), strict=True):
+            yield block, _opened(rows.as_py())
 
-_SEGMENTS_DDL = "segment long, bits binary, pairs array<long>, total array<long>"
-_SEGMENTS = pa.schema([("segment", pa.int64()), ("bits", pa.binary()), ("pairs", pa.list_(pa.int64())), ("total", pa.list_(pa.int64()))])
 
+def _count_training_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_count_words`` of the training rows of blocks."""
+    return _count_words(rows.filter(pc.invert(rows.column("held_out"))) for _, rows in _each_block(batches))
 
-def _build_segments(hashes: int):
-    """A row for each segment, with the number of pairs and the sum of their counts at each level; rows (segment, pair, n) come sorted by segment."""
 
-    def row(segment: int, held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
-        levels = level_of(n)
-        bits = LogFrequencyFilter.segment(keys, levels, hashes)
-        values = [[segment], [bits.tobytes()], [np.bincount(levels).tolist()], [np.bincount(levels, n).astype(np.int64).tolist()]]
-        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, _SEGMENTS, strict=True)], schema=_SEGMENTS)
+@dataclass(frozen=True)
+class Buckets:
+    """Keys by their leading ``bits``, and the KEY_BITS after them by which a bucket tells its keys apart."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        for batch in batches:
-            segment = batch.column("segment").to_numpy()
-            keys = batch.column("pair").to_numpy().view(np.uint64)
-            n = batch.column("n").to_numpy()
-            bounds = np.flatnonzero(np.diff(segment)) + 1 if len(segment) else []
-            for a, b in zip([0, *bounds], [*bounds, len(segment)], strict=True):
-                if a == b:
-                    continue
-                if held and now != segment[a]:
-                    yield row(now, held)
-                    held = []
-                now = int(segment[a])
-                held.append((keys[a:b].copy(), n[a:b].copy()))
-        if held:
-            yield row(now, held)
-
-    return run
+    bits: int
 
+    @property
+    def rest(self) -> int:
+        return min(KEY_BITS, 64 - self.bits)
 
-@dataclass
-class HashedModel:
-    """The unbounded model: ``segments`` is a table; ``means`` the mean count of each level's pairs."""
-
-    vocabulary: Vocabulary
-    segments: DataFrame
-    means: np.ndarray
-    n_segments: int
-    hashes: int
+    def cut(self, keys: np.ndarray) -> np.ndarray:
+        """Keys without the bits that aren't looked at; their order is that of buckets."""
+        return keys >> np.uint64(64 - self.bits - self.rest)
 
-    @property
-    def false_mass(self) -> float:
-        """The count that false positives are expected to add to a word's followers."""
-        return 2.0**-self.hashes * self.vocabulary.distinct
+    def split(self, cut: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(bucket, from, to) of each bucket in sorted cut keys."""
+        bucket = (cut >> np.uint64(self.rest)).astype(np.int64)
+        bounds = np.flatnonzero(np.diff(bucket)) + 1
+        for a, b in zip([0, *bounds.tolist()], [*bounds.tolist(), len(cut)], strict=True):
+            if a < b:
+                yield int(bucket[a]), a, b
 
 
-def fit_hashed(texts: DataFrame, counts: DataFrame, *, hot_words: int = HOT_WORDS) -> HashedModel:
-    """The model of all word pairs of ``texts`` (text), whose ``word_counts`` are ``counts``; its filter is a written table."""
-    known = vocabulary(counts, hot_words=hot_words)
-    hashes = HASHES + max(0, int(np.ceil(np.log2(max(known.distinct, 1) / WORDS_PER_HASHES))))
-    # A pair's level is at most its count, so there are at most as many entries as tokens.
-    bound = known.tokens * hashes * BITS_PER_ENTRY / HASHES / 8
-    partitions = shuffle_partitions(texts.sparkSession)
-    n_segments = max(SEGMENTS_EACH * partitions, int(np.ceil(bound / SEGMENT_BYTES)))
-    pairs = texts.select("text").mapInArrow(_pair_counts(n_segments), "segment long, pair long, n long")
-    # One shuffle: rows that share a segment share their pairs too.
-    pairs = pairs.repartition(partitions, "segment").groupBy("segment", "pair").agg(F.sum("n").alias("n"))
-    segments = staged(pairs.sortWithinPartitions("segment").mapInArrow(_build_segments(hashes), _SEGMENTS_DDL), "segments")
-    levels = segments.select(F.posexplode(F.arrays_zip("pairs", "total")).alias("level", "x"))
-    rows = levels.groupBy("level").agg(F.sum("x.pairs").alias("pairs"), F.sum("x.total").alias("total")).collect()  # a row for each level
-    means = np.zeros(1 + max((r["level"] for r in rows), default=0))
-    for r in rows:
-        means[r["level"]] = r["total"] / max(r["pairs"], 1)
-    return HashedModel(known, segments.select("segment", "bits"), means, n_segments, hashes)
+def _packed(cut: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted keys of a bucket and their counts byte by byte, the same byte of all keys together."""
+    keys = cut.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8]
+    counts = counts.astype("<u4").view(np.uint8).reshape(-1, 4)
+    return pa.Codec("zstd").compress(keys.T.tobytes() + counts.T.tobytes(), asbytes=True)
 
 
-_ASKED_DDL = "segment long, bits binary, first long, uids binary, keys binary, counts binary"
-_ASKED = pa.schema([("segment", pa.int64()), ("bits", pa.binary()), ("first", pa.int64()), ("uids", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary())])
+def _unpacked(packed: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys less their bucket, and counts."""
+    wide = KEY_BITS // 8
+    planes = np.frombuffer(pa.Codec("zstd").decompress(packed, (wide + 4) * n), np.uint8).reshape(wide + 4, n)
+    keys = np.zeros((n, 8), np.uint8)
+    keys[:, :wide] = planes[:wide].T
+    return keys.view("<u8")[:, 0], np.ascontiguousarray(planes[wide:].T).view("<u4")[:, 0].astype(np.int64)
 
 
-def _ask(uids: np.ndarray, keys: np.ndarray, counts: np.ndarray, n_segments: int) -> pa.RecordBatch:
-    """A row for each segment that has keys: the uids less the first one, the keys, and the counts of the later words, packed."""
-    order = np.argsort(keys)
-    keys, counts = keys[order], counts[order].astype("<f4")
-    first = int(uids.min()) if len(uids) else 0
-    offsets = (uids - first)[order]
-    offsets = offsets.astype("<u2" if offsets.max(initial=0) < 1 << 16 else "<i8")
-    segment = segment_of(keys, n_segments)
-    bounds = np.flatnonzero(np.diff(segment)) + 1
-    cuts = list(zip([0, *bounds], [*bounds, len(keys)], strict=True)) if len(keys) else []
-    columns = [
-        [int(segment[a]) for a, _ in cuts], [None] * len(cuts), [first] * len(cuts),
-        *([x[a:b].tobytes() for a, b in cuts] for x in (offsets, keys, counts)),
-    ]
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ASKED, strict=True)], schema=_ASKED)
+_ASKED_DDL = "bucket long, block long, n long, keys binary"
+_ASKED = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("keys", pa.binary())])
 
 
-def _hot_pairs(shared, n_segments: int):
-    """What to ask the filter about words whose counts the tasks have, and ends."""
+def _ask(buckets: Buckets):
+    """Each block's different pairs, one row a bucket, with their counts in its training rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        for part in slices(batches):
-            words = Words(part.column("text"), lower=True)
-            keys, text, word = word_pairs(words)
-            of_word = np.fromiter((known.counts.get(w, -1) for w in words.vocabulary.to_pylist()), np.int64, len(words.vocabulary))
-            count = np.append(of_word, known.ends)[word]
-            # Pairs of words that were never seen can't be in the filter; -1: not hot.
-            here = np.flatnonzero(count > 0)
-            yield _ask(part.column("uid").to_numpy()[text[here]], keys[here], count[here], n_segments)
+        for block, rows in _each_block(batches):
+            keys, text, _ = word_pairs(Words(rows.column("text"), lower=True))
+            keys = buckets.cut(keys)
+            trains = ~rows.column("held_out").to_numpy(zero_copy_only=False)
+            trained, times = np.unique(keys[trains[text]], return_counts=True)
+            keys = np.unique(keys)
+            counts = np.zeros(len(keys), np.int64)
+            counts[np.searchsorted(keys, trained)] = times
+            mask = np.uint64((1 << buckets.rest) - 1)
+            out = [(bucket, block, b - a, _packed(keys[a:b] & mask, counts[a:b])) for bucket, a, b in buckets.split(keys)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _ASKED, strict=True)], schema=_ASKED)
 
     return run
 
 
-def _cold_pairs(n_segments: int):
-    """The same about the words that were joined: rows (uid, n, keys)."""
+_LEVELS_DDL = "block long, bucket long, n long, levels binary, pairs array<long>, total array<long>"
+_LEVELS = pa.schema(
+    [("block", pa.int64()), ("bucket", pa.int64()), ("n", pa.int64()), ("levels", pa.binary()), ("pairs", pa.list_(pa.int64())), ("total", pa.list_(pa.int64()))]
+)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "keys"):
-            packed = part.column("keys").to_pylist()
-            times = np.fromiter((len(k) // 8 for k in packed), np.int64, len(packed))
-            keys = np.frombuffer(b"".join(packed), np.uint64)
-            yield _ask(np.repeat(part.column("uid").to_numpy(), times), keys, np.repeat(part.column("n").to_numpy(), times), n_segments)
 
-    return run
+def _answer(hashes: int, rest: int):
+    """Fill each bucket's filter with the pairs of all blocks and answer each block with the levels found there.
 
-
-def _probe(means: np.ndarray, hashes: int, per_count: float):
-    """(uid, log): what the pairs found in the filter add to the log10 probability; rows come sorted by segment, its bits first.
-
-    ``per_count`` is the Dirichlet count of a word less half of its smoothing: a word seen n times has per_count * (n + 0.5).
+    A row without a block has the number of a bucket's pairs and the sum of their counts at
+    each level. Rows come sorted by bucket.
     """
 
+    def answers(bucket: int, held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        parts = [_unpacked(packed, n) for _, n, packed in held]
+        keys, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        # Counts as doubles are exact up to 2^53.
+        counts = np.bincount(where, np.concatenate([c for _, c in parts]), len(keys)).astype(np.int64)
+        levels = level_of(counts)
+        found = np.zeros(len(keys), np.uint8)
+        edges = np.searchsorted(keys, (np.arange(1, SEGMENTS_EACH, dtype=np.uint64) << np.uint64(rest)) // np.uint64(SEGMENTS_EACH))
+        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(keys)], strict=True):
+            if (entered := np.flatnonzero(counts[a:b]) + a).size:
+                segment = LogFrequencyFilter.segment(keys[entered], levels[entered], hashes)
+                found[a:b] = LogFrequencyFilter(segment[None, :], hashes).levels(keys[a:b])
+        found = found[where]
+        ends = np.cumsum([n for _, n, _ in held]).tolist()
+        seen = levels > 0
+        out = [(block, bucket, n, pa.Codec("zstd").compress(found[end - n : end].tobytes(), asbytes=True), None, None) for (block, n, _), end in zip(held, ends, strict=True)]
+        out.append((None, bucket, 0, None, np.bincount(levels[seen]).tolist(), np.bincount(levels[seen], counts[seen]).astype(np.int64).tolist()))
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _LEVELS, strict=True)], schema=_LEVELS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, bits, held = None, None, []
+        now, held = None, []
         for batch in batches:
-            segment = batch.column("segment").to_numpy()
-            has_bits = batch.column("bits").is_valid().to_numpy(zero_copy_only=False)
-            bounds = np.flatnonzero((np.diff(segment) != 0) | has_bits[:-1]) + 1 if len(segment) else []
-            for a, b in zip([0, *bounds], [*bounds, len(segment)], strict=True):
-                if a == b:
-                    continue
-                if has_bits[a]:
-                    now, bits = int(segment[a]), LogFrequencyFilter(np.frombuffer(batch.column("bits")[a].as_py(), np.uint8)[None, :], hashes)
-                    continue
-                if now != segment[a]:
-                    continue
-                keys, n, uids = [], [], []
-                for i in range(a, b):
-                    keys.append(np.frombuffer(batch.column("keys")[i].as_py(), np.uint64))
-                    n.append(np.frombuffer(batch.column("counts")[i].as_py(), "<f4"))
-                    packed = batch.column("uids")[i].as_py()
-                    uids.append(np.frombuffer(packed, "<u2" if len(packed) == 2 * len(keys[-1]) else "<i8").astype(np.int64) + batch.column("first")[i].as_py())
-                keys, where = np.unique(np.concatenate(keys), return_inverse=True)
-                found = means[np.minimum(bits.levels(keys), len(means) - 1)][where]
-                n, uids = np.concatenate(n).astype(np.float64), np.concatenate(uids)
-                held.append((uids, np.log10(1 + np.minimum(found, n) / (per_count * (n + 0.5)))))
-                if sum(len(u) for u, _ in held) > PAIRS_HELD:
-                    held = [_summed(held)]
-                    if len(held[0][0]) > PAIRS_HELD // 2:
-                        yield pa.RecordBatch.from_arrays(list(map(pa.array, held.pop())), names=["uid", "log"])
+            for bucket, block, n, keys in zip(*(batch.column(c).to_pylist() for c in ("bucket", "block", "n", "keys")), strict=True):
+                if held and now != bucket:
+                    yield answers(now, held)
+                    held = []
+                now = bucket
+                held.append((block, n, keys))
         if held:
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, _summed(held))), names=["uid", "log"])
+            yield answers(now, held)
 
     return run
 
 
-_WORDS_DDL = "uid long, doc_id long, n_tokens long, known long, base double, contexts double, rest array<string>, times array<long>, keys array<binary>"
-_WORDS = pa.schema(
-    [("uid", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("contexts", pa.float64()),
-     ("rest", pa.list_(pa.string())), ("times", pa.list_(pa.int64())), ("keys", pa.list_(pa.binary()))]
-)
+def _cold_words(shared):
+    """(block, place, word) of each block's words whose counts the tasks don't have; a place is one in the block's vocabulary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for block, rows in _each_block(batches):
+            vocabulary_ = Words(rows.column("text"), lower=True).vocabulary
+            place = np.flatnonzero(np.fromiter((w not in known.counts for w in vocabulary_.to_pylist()), bool, len(vocabulary_)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(place), block)), pa.array(place), vocabulary_.take(pa.array(place)).cast(pa.string())], names=["block", "place", "word"]
+            )
 
+    return run
 
-def _score_words(shared, added: float):
-    """Unigram scores and the logarithms of the contexts' totals; words that are not hot come with their pairs, for the join."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_SCORES_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def _score_blocks(shared, means: np.ndarray, buckets: Buckets, false_mass: float):
+    """Scores of each block's rows; its rows come first, then its cold words' counts, then its pairs' levels by bucket."""
+
+    def scores(rows: bytes, places: list[np.ndarray], counts: list[np.ndarray], levels: list[bytes]) -> pa.RecordBatch:
         known = shared.value
-        for part in slices(batches):
-            words = Words(part.column("text"), lower=True)
-            n = part.num_rows
-            vocabulary_ = words.vocabulary.to_pylist()
-            count = np.fromiter((known.counts.get(w, -1) for w in vocabulary_), np.int64, len(vocabulary_))
-            hot = np.maximum(count, 0)
-            base = words.sums(np.where(count >= 0, known.log_base(hot), 0.0)[words.ids]) + known.log_base(known.ends)
-            contexts = words.sums(np.where(count >= 0, np.log10(hot + added), 0.0)[words.ids]) + np.log10(known.ends + added)
-            pair_keys, text, word = word_pairs(words)
-            cold = np.flatnonzero((word >= 0) & (np.append(count, 0)[word] < 0))
-            cold = cold[np.lexsort((word[cold], text[cold]))]
-            pairs, first, times = np.unique(text[cold] * len(vocabulary_) + word[cold], return_index=True, return_counts=True)
-            in_text, cold_word = np.divmod(pairs, max(len(vocabulary_), 1))
-            packed = pair_keys[cold].tobytes()
-            offsets = pa.array(np.searchsorted(in_text, np.arange(n + 1)), pa.int32())
-            columns = [
-                part.column("uid"),
-                part.column("doc_id"),
-                pa.array(words.counts + 1),
-                pa.array(words.sums((count[words.ids] > 0).astype(np.int64)) + (known.ends > 0)),
-                pa.array(base),
-                pa.array(contexts),
-                pa.ListArray.from_arrays(offsets, words.vocabulary.take(pa.array(cold_word)).cast(pa.string())),
-                pa.ListArray.from_arrays(offsets, pa.array(times, pa.int64())),
-                pa.ListArray.from_arrays(offsets, pa.array([packed[8 * a : 8 * (a + t)] for a, t in zip(first.tolist(), times.tolist(), strict=True)], pa.binary())),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, schema=_WORDS)
+        part = _opened(rows)
+        words = Words(part.column("text"), lower=True)
+        count = np.fromiter((known.counts.get(w, 0) for w in words.vocabulary.to_pylist()), np.int64, len(words.vocabulary))
+        if places:
+            count[np.concatenate(places)] = np.concatenate(counts)
+        keys, text, word = word_pairs(words)
+        keys = buckets.cut(keys)
+        different = np.unique(keys)
+        level = np.frombuffer(b"".join(levels), np.uint8)
+        if len(level) != len(different):
+            raise ValueError(f"{len(different)} pairs were asked, {len(level)} answered")
+        found = means[np.minimum(level, len(means) - 1)][np.searchsorted(different, keys)]
+        n = np.append(count, known.ends)[word]
+        total = known.tokens + 0.5 * (known.distinct + 1)
+        # What a word's unigram probability counts for is DIRICHLET / total * (n + 0.5).
+        pairs = np.bincount(text, np.log10(1 + np.minimum(found, n) / (DIRICHLET / total * (n + 0.5))), part.num_rows)
+        added = DIRICHLET + false_mass
+        base = words.sums(known.log_base(count)[words.ids]) + known.log_base(known.ends)
+        contexts = words.sums(np.log10(count + added)[words.ids]) + np.log10(known.ends + added)
+        n_tokens = words.counts + 1
+        columns = [
+            part.column("doc_id"), part.column("held_out"), pa.array(n_tokens), pa.array(words.sums((count > 0).astype(np.int64)[words.ids]) + (known.ends > 0)),
+            pa.array(base), pa.array(base + n_tokens * np.log10(DIRICHLET) - contexts + pairs),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, places, counts, levels = None, [], [], []
+        for batch in batches:
+            kind, place, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("kind", "place", "n"))
+            at = 0
+            while at < batch.num_rows:
+                if kind[at] == 0:
+                    if rows is not None:
+                        yield scores(rows, places, counts, levels)
+                    rows, places, counts, levels = batch.column("packed")[at].as_py(), [], [], []
+                    at += 1
+                elif kind[at] == 1:
+                    others = np.flatnonzero(kind[at:] != 1)
+                    stop = at + int(others[0]) if len(others) else batch.num_rows
+                    places.append(place[at:stop].copy())
+                    counts.append(n[at:stop].copy())
+                    at = stop
+                else:
+                    levels.append(pa.Codec("zstd").decompress(batch.column("packed")[at].as_py(), int(n[at]), asbytes=True))
+                    at += 1
+        if rows is not None:
+            yield scores(rows, places, counts, levels)
 
     return run
 
 
-def _score_all(tagged: DataFrame, training: DataFrame, counts: DataFrame, hot_words: int) -> tuple[Vocabulary, DataFrame]:
-    """(uid, doc_id, n_tokens, n_known, base_score, score) of ``tagged`` by the model of all pairs."""
-    model = fit_hashed(training, counts, hot_words=hot_words)
-    known = model.vocabulary
-    shared = tagged.sparkSession.sparkContext.broadcast(known)
-    added = DIRICHLET + model.false_mass
-    total = known.tokens + 0.5 * (known.distinct + 1)
-    scored = staged(tagged.mapInArrow(_score_words(shared, added), _WORDS_DDL), "scored")
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    rest = scored.select("uid", F.explode(F.arrays_zip("rest", "times", "keys")).alias("x")).select("uid", F.col("x.rest").alias("word"), "x.times", "x.keys")
-    found = staged(rest.join(counts, "word", "left").select("uid", "times", zero("n").alias("n"), "keys"), "cold-words")
-    cold = found.groupBy("uid").agg(
-        F.sum(F.col("times") * (F.log10(F.col("n") + 0.5) - float(np.log10(total)))).alias("log"),
-        F.sum(F.col("times") * F.log10(F.col("n") + added)).alias("cold_contexts"),
-        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("seen"),
-    )
-    asked = tagged.select("uid", "text").mapInArrow(_hot_pairs(shared, model.n_segments), _ASKED_DDL)
-    asked = asked.unionByName(found.filter("n > 0").select("uid", "n", "keys").mapInArrow(_cold_pairs(model.n_segments), _ASKED_DDL))
-    asked = model.segments.unionByName(asked, allowMissingColumns=True).repartition(shuffle_partitions(tagged.sparkSession), "segment")
-    asked = asked.sortWithinPartitions("segment", F.col("bits").isNull())
-    pairs = asked.mapInArrow(_probe(model.means, model.hashes, DIRICHLET / total), "uid long, log double").groupBy("uid").agg(F.sum("log").alias("pairs"))
-    return known, scored.drop("rest", "times", "keys").join(cold, "uid", "left").join(pairs, "uid", "left").select(
-        "uid",
-        "doc_id",
-        "n_tokens",
-        (F.col("known") + zero("seen")).alias("n_known"),
-        (F.col("base") + zero("log")).alias("base_score"),
-        (F.col("base") + zero("log") + F.col("n_tokens") * float(np.log10(DIRICHLET)) - F.col("contexts") - zero("cold_contexts") + zero("pairs")).alias("score"),
-    )
+def _score_all(tagged: DataFrame, hot_words: int) -> tuple[Vocabulary, DataFrame]:
+    """(doc_id, held_out, n_tokens, n_known, base_score, score) of ``tagged`` by the model of all pairs of its training rows."""
+    spark = tagged.sparkSession
+    partitions = shuffle_partitions(spark)
+    blocks = staged(tagged.mapInArrow(_blocks, _BLOCKS_DDL), "blocks")
+    counts = _summed_words(blocks.mapInArrow(_count_training_words, "word string, n long"))
+    known = vocabulary(counts, hot_words=hot_words)
+    shared = spark.sparkContext.broadcast(known)
+    hashes = HASHES + max(0, int(np.ceil(np.log2(max(known.distinct, 1) / WORDS_PER_HASHES))))
+    # A pair's level is at most its count, so there are at most as many entries as tokens.
+    bound = known.tokens * hashes * BITS_PER_ENTRY / HASHES / 8
+    buckets = Buckets(int(np.ceil(np.log2(max(partitions, bound / (SEGMENTS_EACH * SEGMENT_BYTES), 2)))))
+    asked = blocks.mapInArrow(_ask(buckets), _ASKED_DDL).repartition(partitions, "bucket").sortWithinPartitions("bucket")
+    levels = staged(asked.mapInArrow(_answer(hashes, buckets.rest), _LEVELS_DDL), "levels")
+    steps = levels.filter("block IS NULL").select(F.posexplode(F.arrays_zip("pairs", "total")).alias("level", "x"))
+    rows = steps.groupBy("level").agg(F.sum("x.pairs").alias("pairs"), F.sum("x.total").alias("total")).collect()  # a row for each level
+    means = np.zeros(1 + max((r["level"] for r in rows), default=0))
+    for r in rows:
+        means[r["level"]] = r["total"] / max(r["pairs"], 1)
+    cold = blocks.mapInArrow(_cold_words(shared), "block long, place long, word string").join(counts, "word")
+    none = F.lit(None)
+    parts = blocks.select("block", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("place"), F.lit(0).cast("long").alias("n"), F.col("rows").alias("packed"))
+    parts = parts.unionByName(cold.select("block", F.lit(1).alias("kind"), "place", "n", none.cast("binary").alias("packed")))
+    parts = parts.unionByName(levels.filter("block IS NOT NULL").select("block", F.lit(2).alias("kind"), F.col("bucket").alias("place"), "n", F.col("levels").alias("packed")))
+    parts = parts.repartition(partitions, "block").sortWithinPartitions("block", "kind", "place")
+    # The count that false positives are expected to add to a word's followers.
+    false_mass = 2.0**-hashes * known.distinct
+    return known, parts.mapInArrow(_score_blocks(shared, means, buckets, false_mass), _SCORES_DDL)
 
 
 def score(docs: DataFrame, *, size: int | None = None, hot_words: int = HOT_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -636,15 +639,13 @@ def score(docs: DataFrame, *, size: int | None = None, hot_words: int = HOT_WORD
     probability 1. No rows: no rows. Other columns are not looked at. All word pairs are
     counted, unless ``size`` asks for the bounded model.
     """
-    tagged = id_and_text(docs, id_col, text_col).withColumn("uid", F.monotonically_increasing_id())
+    tagged = id_and_text(docs, id_col, text_col)
     if size is None:
-        tagged = staged(tagged, "tagged")
+        known, found = _score_all(tagged.withColumn("held_out", is_held_out(F.col("doc_id"))), hot_words)
+        return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(known.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    tagged = tagged.withColumn("uid", F.monotonically_increasing_id())
     training = tagged.filter(~is_held_out(F.col("doc_id"))).select("text")
     counts = word_counts(training)
-    if size is None:
-        known, found = _score_all(tagged, training, counts, hot_words)
-        held, tokens = is_held_out(F.col("doc_id")).alias("held_out"), F.lit(known.tokens).cast("long").alias("train_tokens")
-        return found.select("doc_id", held, "n_tokens", "n_known", tokens, "base_score", "score")
     model = fit(training, counts, size=size, hot_words=hot_words)
     known = model.vocabulary
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -133,3 +133,31 @@ def test_bounded_vocabulary_is_filled_when_counts_are_equal(spark):
     counts = spark.createDataFrame([(f"w{k}", 7) for k in range(50)] + [("", 9)], "word string, n long")
     known = lm.vocabulary(counts, size=20)
     assert len(known.classes) == 20 and len(known.counts) == 50
+
+
+def test_a_block_asks_each_pair_once_and_gets_its_level(monkeypatch):
+    """However often a pair comes, it travels once a block; counts of all blocks make its level."""
+    monkeypatch.setattr(lm.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 3})())
+    schema = lm.pa.schema([("doc_id", lm.pa.int64()), ("held_out", lm.pa.bool_()), ("text", lm.pa.string())])
+    tables = [
+        [[1, 2, None], [False, True, False], ["a b " * 500, "a b c", ""]],
+        [[4], [False], ["a b " * 7 + "d"]],
+    ]
+    blocks = list(lm._blocks(lm.pa.RecordBatch.from_arrays([lm.pa.array(c, f.type) for c, f in zip(t, schema, strict=True)], schema=schema) for t in tables))
+    assert [b.column("block").to_pylist() for b in blocks] == [[3 << 33], [(3 << 33) + 1]]
+    buckets = lm.Buckets(1)
+    asked = list(lm._ask(buckets)(iter(blocks)))
+    # start-a, a-b, b-a, b-end, b-c, c-end, start-end; start-a, a-b, b-a, a-d or b-d, d-end.
+    assert [sum(x.column("n").to_pylist()) for x in asked] == [7, 5]
+    assert sum(len(k) for x in asked for k in x.column("keys").to_pylist()) < 400
+    rows = sorted((r for x in asked for r in x.to_pylist()), key=lambda r: r["bucket"])
+    answers = [r for x in lm._answer(30, buckets.rest)(iter([lm.pa.RecordBatch.from_pylist(rows, schema=lm._ASKED)])) for r in x.to_pylist()]
+    first = [r for r in answers if r["block"] == 3 << 33]
+    levels = np.frombuffer(b"".join(lm.pa.Codec("zstd").decompress(r["levels"], r["n"], asbytes=True) for r in sorted(first, key=lambda r: r["bucket"])), np.uint8)
+    # a-b 507, b-a 499 + 6, start-a 2, b-end 1, start-end 1, and two that only the held-out text has.
+    assert sorted(levels.tolist()) == sorted([*lm.level_of(np.array([507, 505, 2, 1, 1])).tolist(), 0, 0])
+    pairs = np.zeros(99, int)
+    for r in answers:
+        if r["block"] is None:
+            pairs[: len(r["pairs"])] += r["pairs"]
+    assert pairs.sum() == 7 and pairs[0] == 0
