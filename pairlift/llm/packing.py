@@ -43,6 +43,10 @@ _PIECES_DDL = "uid long, doc_id long, piece int, start long, length long, ids bi
 # Where a word ends before marks that end the chunk: the tokenizer parts them, so a space there changes nothing
 # unless what it makes of the last letter ends in a combining mark, which goes with the marks.
 WORD_END = r"([\p{L}\p{N}])([.,;:!?]+)( |$)"
+# Lower-case letters that are their own normal form.
+PLAIN_WORD = r"^[a-zß-öø-ÿ]+$"
+# Chunks in a call of the tokenizer.
+CALL_CHUNKS = 2048
 
 
 @lru_cache(maxsize=4)
@@ -56,11 +60,22 @@ def joining_letters(tokenizer) -> str | None:
     return "[" + "".join(joining) + "]" if joining else None
 
 
+def closing_ids(tokenizer) -> np.ndarray | None:
+    """For each id, whether it closes a word; None: the tokenizer doesn't mark that."""
+    suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+    if not suffix:
+        return None
+    vocabulary = tokenizer.get_vocab()
+    closes = np.zeros(max(vocabulary.values()) + 1, bool)
+    closes[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+    return closes
+
+
 class ChunkTokenizer:
     """Token ids of texts whose tokenizer drops white space and never joins what it parts, nor words and marks.
 
-    Each different chunk between spaces, line feeds and ends of words goes to the tokenizer once; the ids of later ones come
-    from a table that is emptied when it holds more than ``keep`` chunks. A text that holds an added token of the file
+    Each different chunk between spaces, line feeds and ends of words goes to the tokenizer once, words of plain letters many in
+    a call; the ids of later ones come from a table that is emptied when it holds more than ``keep`` chunks. A text that holds an added token of the file
     (``<|endoftext|>``), in its letter case, goes to the tokenizer whole, so that the token gets its own id.
     """
 
@@ -78,28 +93,57 @@ class ChunkTokenizer:
         letters = "A B C D E F G H I J K L M N O P Q R S T U V W X Y Z"
         self.lower_cases = self.tokenizer.encode(letters).ids == self.tokenizer.encode(letters.lower()).ids
         self.joining = joining_letters(self.whole)
+        self.closes = closing_ids(self.whole)
         self.keep = keep
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = pa.array([], pa.string())
         self.ids = np.zeros(0, np.uint32)
         self.ends = np.zeros(1, np.int64)
 
-    def _rows(self, chunks: list[str]) -> np.ndarray:
+    def _rows(self, chunks: pa.Array) -> np.ndarray:
         """Row of each chunk in the table; unknown ones are encoded first."""
         if len(self.known) > self.keep:
             self._clear()
-        new = [c for c in chunks if c not in self.known]
-        self.known.update(zip(new, range(len(self.ends) - 1, len(self.ends) - 1 + len(new)), strict=True))
-        ids, sizes = [self.ids], []
-        for i in range(0, len(new), 2048):
-            coded = [c.ids for c in self.tokenizer.encode_batch_fast(new[i : i + 2048], add_special_tokens=False)]
+        rows = pc.fill_null(pc.index_in(chunks, value_set=self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        missing = np.flatnonzero(rows < 0)
+        if len(missing):
+            unknown = chunks.take(pa.array(missing)).cast(pa.string())
+            new = unknown.unique()
+            # Words of plain letters come first: they are encoded together.
+            plain = pc.match_substring_regex(new, PLAIN_WORD)
+            words, others = new.filter(plain), new.filter(pc.invert(plain))
+            new = pa.concat_arrays([words, others])
+            coded = [self._words(words.to_pylist()), self._separate(others.to_pylist())]
+            rows[missing] = len(self.known) + pc.index_in(unknown, value_set=new).to_numpy(zero_copy_only=False)
+            self.known = pa.concat_arrays([self.known, new])
+            self.ids = np.concatenate([self.ids, *(ids for ids, _ in coded)])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate([sizes for _, sizes in coded]))])
+        return rows
+
+    def _separate(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks and the number of each, by a call of the tokenizer for each."""
+        ids, sizes = [np.zeros(0, np.uint32)], []
+        for i in range(0, len(chunks), CALL_CHUNKS):
+            coded = [c.ids for c in self.tokenizer.encode_batch_fast(chunks[i : i + CALL_CHUNKS], add_special_tokens=False)]
             sizes += map(len, coded)
             ids.append(np.fromiter(chain.from_iterable(coded), np.uint32))
-        self.ids = np.concatenate(ids)
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes, dtype=np.int64)])
-        return np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+        return np.concatenate(ids), np.array(sizes, np.int64)
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of words of plain letters, many in a call: the last id of each is one that closes a word."""
+        if self.closes is None:
+            return self._separate(words)
+        out = [(np.zeros(0, np.uint32), np.zeros(0, np.int64))]
+        for i in range(0, len(words), CALL_CHUNKS):
+            part = words[i : i + CALL_CHUNKS]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            # A word that is parted, or has no such id, shows in their number.
+            fits = len(ends) == len(part) and ends[-1] == len(ids)
+            out.append((ids, np.diff(ends, prepend=0)) if fits else self._separate(part))
+        return np.concatenate([ids for ids, _ in out]), np.concatenate([sizes for _, sizes in out])
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text (uint32), as the tokenizer gives them with add_special_tokens=False."""
@@ -124,9 +168,7 @@ class ChunkTokenizer:
         texts = parted if self.joining is None else pc.if_else(pc.match_substring_regex(texts, self.joining), texts, parted)
         lists = pc.split_pattern(texts, " ")
         counts = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        coded = lists.flatten().dictionary_encode()
-        rows = self._rows(coded.dictionary.to_pylist())
-        row = rows[coded.indices.to_numpy(zero_copy_only=False)]
+        row = self._rows(lists.flatten())
         first, n = self.ends[row], self.ends[row + 1] - self.ends[row]
         done = np.concatenate([[0], np.cumsum(n)])
         ids = self.ids[np.arange(done[-1]) + np.repeat(first - done[:-1], n)]

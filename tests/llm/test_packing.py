@@ -124,3 +124,40 @@ def test_every_letter_before_a_mark_is_coded_as_by_the_tokenizer():
     want = plain.encode_batch(texts, add_special_tokens=False)
     assert all(g.tolist() == w.ids for g, w in zip(got, want, strict=True))
     assert "\u09df" in packing.joining_letters(plain) and "e" not in packing.joining_letters(plain)
+
+
+class CountingCalls:
+    """A tokenizer that notes how many inputs it was given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.inputs = tokenizer, 0
+
+    def encode_batch_fast(self, inputs, **options):
+        self.inputs += len(inputs)
+        return self.tokenizer.encode_batch_fast(inputs, **options)
+
+
+@pytest.mark.parametrize("closes", ["as it is", "none", "wrong"])
+def test_plain_words_are_encoded_together(closes):
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    parts = ["the", "st", "ion", "ß", "äü", "é", "œ", "İ", "É", "'s", "'t", "12", ".", "of", "q", "x", "´", "ª", "÷", "日本", "</w>", "i̇"]
+    words = ["".join(rng.choice(parts[:6]) for _ in range(rng.randint(1, 6))) for _ in range(5000)]
+    mixed = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 6))) for _ in range(2000)]
+    texts = [" ".join(words), *words[:50], "", " ", *(" ".join(mixed[i : i + 40]) for i in range(0, 2000, 40)), " ".join(words[::-1])]
+    tokenizer = packing.ChunkTokenizer(PATH)
+    calls = tokenizer.tokenizer = CountingCalls(tokenizer.tokenizer)
+    if closes == "none":
+        tokenizer.closes = None
+    elif closes == "wrong":
+        tokenizer.closes = ~tokenizer.closes
+    want = [np.array(e.ids) for e in tokenizer.whole.encode_batch(texts, add_special_tokens=False)]
+    first = tokenizer.encode(pa.array(texts[:51]))
+    together = calls.inputs
+    got = [*first, *tokenizer.encode(pa.array(texts[51:]))]
+    assert all(g.tolist() == w.tolist() for g, w in zip(got, want, strict=True))
+    if closes == "as it is":
+        assert together < 10 < len(set(words))
