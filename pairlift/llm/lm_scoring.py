@@ -370,6 +370,32 @@ def _score(shared):
     return run
 
 
+def _byte_numbers(at: np.ndarray) -> np.ndarray:
+    """A number for each byte at its place (place * 256 + byte)."""
+    with np.errstate(over="ignore"):
+        return mix64(mix64(at.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) + np.uint64(0x5BF03635))
+
+
+# Those of a word's first 64 bytes.
+FIRST_BYTES = _byte_numbers(np.arange(64 * 256))
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word (none is empty): the sum of a number for every byte at its place, mixed."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    packed = words.cast(pa.binary())
+    offsets = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1].astype(np.int64)
+    starts, sizes = offsets[:-1] - offsets[0], np.diff(offsets)
+    data = np.frombuffer(packed.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    at = (np.arange(len(data)) - np.repeat(starts, sizes)) << 8 | data
+    numbers = FIRST_BYTES[np.minimum(at, len(FIRST_BYTES) - 1)]
+    far = np.flatnonzero(at >= len(FIRST_BYTES))
+    numbers[far] = _byte_numbers(at[far])
+    with np.errstate(over="ignore"):
+        return mix64(np.add.reduceat(numbers, starts) + sizes.astype(np.uint64))
+
+
 def word_pairs(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each word and end: hash of the pair with what is before it, number of its text, and its word (-1: an end)."""
     n = len(words.counts)
@@ -379,7 +405,7 @@ def word_pairs(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside[starts + words.counts] = False
     word[inside] = words.ids
     after = np.full(len(word), END)
-    after[inside] = words.hashes()[words.ids] if len(words.ids) else 0
+    after[inside] = word_hashes(words.vocabulary)[words.ids]
     before = np.roll(after, 1)
     before[starts] = START
     with np.errstate(over="ignore"):

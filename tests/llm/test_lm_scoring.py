@@ -161,3 +161,15 @@ def test_a_block_asks_each_pair_once_and_gets_its_level(monkeypatch):
         if r["block"] is None:
             pairs[: len(r["pairs"])] += r["pairs"]
     assert pairs.sum() == 7 and pairs[0] == 0
+
+
+def test_word_hashes_tell_words_apart():
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [*(a + b + c + d for a in letters for b in letters for c in letters for d in "Aé\x00Z"), *("a" * k for k in range(1, 300)), *("\x00" * k for k in range(1, 300))]
+    array = lm.pa.array(["x", *words])
+    hashes = lm.word_hashes(array.slice(1))
+    assert len(np.unique(hashes)) == len(words) and (hashes == lm.word_hashes(lm.pa.array(words))).all()
+    # Every bit is set in about half of them.
+    share = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).mean(axis=0)
+    assert ((share > 0.48) & (share < 0.52)).all()
+    assert len(lm.word_hashes(lm.pa.array([], lm.pa.string()))) == 0
