@@ -16,7 +16,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -35,6 +34,8 @@ SAMPLE_CHARS = 20_000
 # Training makes the features of so many texts at a time, anew in each epoch: all of them at once would fill the driver.
 SLICE_TEXTS = 64
 THRESHOLD = 0.3
+# Text scored at a time: its features and pairs take about fifty times as much memory.
+SCORE_SLICE_BYTES = 2 << 20
 
 
 def _word_features(words: Words, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,6 +147,12 @@ def scores(texts: pa.Array, model: Model) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
 
 
+def scores_of_slices(texts: pa.Array, model: Model) -> np.ndarray:
+    """``scores``, made for SCORE_SLICE_BYTES of text at a time; they don't depend on it."""
+    whole = pa.RecordBatch.from_arrays([texts], names=["text"])
+    return np.concatenate([np.zeros(0), *(scores(part.column("text"), model) for part in slices(iter([whole]), size=SCORE_SLICE_BYTES))])
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> tuple[list[str], list[int]]:
     """Texts and labels of at most ``rows`` labelled documents with crc32(id) mod 5 <> 0, those with the smallest hashed ids.
 
@@ -168,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS, chars: i
 
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, size=SCORE_SLICE_BYTES):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores(part.column("text"), model.value))], names=["doc_id", "score"])
 
     return run
@@ -199,10 +206,8 @@ def keep_good(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD, te
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        whole = pa.RecordBatch.from_arrays([pa.array(text, pa.string(), from_pandas=True)], names=["text"])
-        parts = [scores(part.column("text"), shared.value) for part in slices([whole])]
-        return pd.Series(np.concatenate([np.zeros(0), *parts]))
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        return pa.array(scores_of_slices(text, shared.value))
 
     return docs.filter(score(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))) >= threshold)
