@@ -95,6 +95,18 @@ def test_train_then_detect(spark, cohort, parts, tmp_path):
     assert len(lines) == features.count()
 
 
+def test_train_on_a_small_share_of_the_rows(spark):
+    """A sample of less than a tenth still leaves rows to train on, and rows to stop by."""
+    rows = spark.range(4000).selectExpr(
+        "concat('k', id) key", "id % 7 / 2.0D neg_log10", "id % 5 / 1.0D hic", "id % 3 / 1.0D recomb", "pow(10, -(id % 7) / 2.0D) raw_p", "id % 2 / 1.0D fdr", "1L line"
+    )
+    sample = rescoring.training_set(rows.drop("raw_p", "fdr", "line"), rows.select("key", "raw_p", "fdr", "line"), threshold=0.5, positives=150, negatives=150)
+    n = sample.count()
+    assert 200 < n < 400
+    trained = rescoring.train(sample, k=1, trees=3, depth=2)
+    assert 0 < trained.validation.first()["n"] < n / 4
+
+
 def test_region_limits_the_variants(spark, cohort):
     from pairlift.sources import genomics as g
 
