@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from pairlift.operators.annotate import add_coordinates
 from pairlift.operators.dedup import adjacent_distinct, first_per_key
 from pairlift.operators.intervals import near_pairs, overlap_pairs, parse_region, signal_summary
 from pairlift.operators.skew import _with_pieces, grid_join, hot_hashes, lookup_join, small_or_plain
@@ -110,6 +111,43 @@ def test_near_pairs(spark, genome, distance, width, hot):
     assert got == want
 
 
+def test_few_regions_leave_points_and_results_in_place(spark, genome, monkeypatch, tmp_path):
+    """Pairs with few regions, and their coordinates, come without a shuffle of points or pairs, and aren't written."""
+    points, regions = genome
+    folders = [str(tmp_path / name) for name in ("points", "regions")]
+    spark.createDataFrame(points, "snp string, chr string, pos long").write.parquet(folders[0])
+    spark.createDataFrame(regions, "gene string, chr string, start long, end long").write.parquet(folders[1])
+    p, r = map(spark.read.parquet, folders)
+    pairs = near_pairs(p, r, 100)
+    assert "Exchange hashpartitioning" not in pairs._jdf.queryExecution().executedPlan().toString()
+    results = pairs.selectExpr("snp", "gene", "pos / 10.0D p_value")
+    assert written(results) is results
+    located = add_coordinates(results, p, r)
+    assert "Exchange hashpartitioning" not in located._jdf.queryExecution().executedPlan().toString()
+    got = sorted((x["snp"], x["gene"], x["start"], x["end"], x["p_value"]) for x in located.collect())
+    want = sorted(
+        (s, g, x - 1 if x < lo else lo, x if x > hi else hi, x / 10)
+        for s, c, x in points for g, d, lo, hi in regions if c == d and lo - 100 <= x <= hi + 100
+    )
+    assert got == want and got
+    # Larger tables meet by shuffle, with the same rows.
+    monkeypatch.setattr("pairlift.operators.skew.BROADCAST_ROWS", 10)
+    assert "_bin" in str(near_pairs(p, r, 100)._jdf.queryExecution().optimizedPlan().toString())
+    plain = add_coordinates(near_pairs(p, r, 100).selectExpr("snp", "gene", "pos / 10.0D p_value"), p, r)
+    assert sorted((x["snp"], x["gene"], x["start"], x["end"], x["p_value"]) for x in plain.collect()) == want
+
+
+def test_repeated_and_null_ids_keep_their_rows(spark, rows, monkeypatch):
+    """A location that comes twice gives two rows and a null id none, broadcast or not."""
+    results = spark.createDataFrame([("s1", "g1", 0.5), ("s1", "g2", 0.6), (None, "g1", 0.7), ("s2", None, 0.8)], "snp string, gene string, p_value double")
+    snps = spark.createDataFrame([("s1", "a", 5), ("s1", "a", 9), (None, "a", 3), ("s2", None, 4)], "snp string, chr string, pos long")
+    genes = spark.createDataFrame([("g1", "a", 1, 7), ("g2", None, 1, 7), (None, "a", 1, 7)], "gene string, chr string, start long, end long")
+    want = [("s1", "g1", 1, 7), ("s1", "g1", 1, 9)]
+    assert rows(add_coordinates(results, snps, genes), "snp", "gene", "start", "end") == want
+    monkeypatch.setattr("pairlift.operators.skew.BROADCAST_ROWS", 0)
+    assert rows(add_coordinates(results, snps, genes), "snp", "gene", "start", "end") == want
+
+
 @pytest.mark.parametrize("width", [10, 250, 100_000])
 def test_overlap_pairs(spark, genome, width):
     _, regions = genome
