@@ -159,6 +159,29 @@ def test_null_is_na_and_overwrite(spark, tmp_path):
     assert lines(tmp_path / "o") == ["NA\t1.0", "x\tNA"]
 
 
+def test_compressed_tables_are_read_like_plain_ones(spark, rows, tmp_path):
+    """Results, truth lines and BED views as gzip: the same rows, in fewer bytes."""
+    data = [("r%d" % i, "g%d" % (i % 3), i / 7, None if i % 5 == 0 else 0.5, 0.25, 0.5) for i in range(300)]
+    results = spark.createDataFrame(data, "snp string, gene string, beta double, t_stat double, p_value double, fdr double")
+    folders = {c: str(tmp_path / str(c)) for c in (None, "gzip")}
+    for c, path in folders.items():
+        sink.write_table(results, f"{path}/results", header=True, compression=c)
+        sink.write_table(results.withColumnRenamed("snp", "SNP"), f"{path}/truth", header=True, compression=c)
+        located = results.selectExpr("'c' chr", "1L start", "9L end", "*", "5L snp_pos", "1L gene_start", "9L gene_end")
+        sink.write_beds(located, f"{path}/beds", compression=c)
+    plain, packed = folders.values()
+    assert rows(g.read_results(spark, f"{packed}/results")) == rows(g.read_results(spark, f"{plain}/results")) == rows(results)
+    truths = [rows(g.read_truth(spark, f"{path}/truth").drop("line")) for path in (plain, packed)]
+    assert truths[0] == truths[1] and len(truths[0]) == 300
+    payload = "snp string, gene string, beta double, t_stat double, p_value double, fdr double"
+    for view in ("pairs", "snps", "genes"):
+        columns = payload if view == "pairs" else f"name string, {payload}"
+        beds = [rows(g.read_bed(spark, f"{path}/beds/{view}", columns)) for path in (plain, packed)]
+        assert beds[0] == beds[1] and len(beds[0]) == 300
+    size = lambda path: sum(f.stat().st_size for f in (tmp_path / path).rglob("part-*"))
+    assert size("gzip") < size("None") / 2
+
+
 def test_partitioned_writers(spark, rows, tmp_path):
     df = spark.createDataFrame([("a", "cis", 1.0), ("b", "trans", 2.0)], "snp string, kind string, beta double")
     sink.write_cis_trans(df, str(tmp_path / "ct"))

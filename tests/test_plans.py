@@ -107,6 +107,21 @@ def test_train_on_a_small_share_of_the_rows(spark):
     assert 0 < trained.validation.first()["n"] < n / 4
 
 
+def test_truth_of_other_keys_is_counted_but_not_moved(spark, rows, monkeypatch):
+    """The last line of a key counts, class sizes count all lines, and only keys with features are grouped."""
+    features = spark.createDataFrame([("a", 1.0, 2.0, 3.0), ("b", 1.0, 2.0, 3.0), (None, 1.0, 2.0, 3.0)], "key string, neg_log10 double, hic double, recomb double")
+    lines = [("a", 0.1, 0.9, 1), ("a", 0.01, 0.001, 2), ("b", 0.001, 0.5, 1), (None, 0.1, 0.1, 1), *[(f"x{i}", 0.1, 0.5, 1) for i in range(50)]]
+    truth = spark.createDataFrame(lines, "key string, raw_p double, fdr double, line long")
+    got = rescoring.training_set(features, truth)
+    assert rows(got.selectExpr("key", "round(label, 6) label", "class")) == [("a", 2.0, 1), ("b", 3.0, 0)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
+    monkeypatch.setattr("pairlift.operators.skew.BROADCAST_ROWS", 0)
+    assert rows(rescoring.training_set(features, truth).selectExpr("key", "round(label, 6) label", "class")) == [("a", 2.0, 1), ("b", 3.0, 0)]
+    # One class of 50 lines and more, of which one is wanted: the share follows all of them.
+    assert rescoring.training_set(features, truth, negatives=1).where("class = 0").count() <= 1
+
+
 def test_region_limits_the_variants(spark, cohort):
     from pairlift.sources import genomics as g
 
