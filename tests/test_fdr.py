@@ -33,6 +33,21 @@ def test_matches_numpy(spark, tied, buckets):
     assert np.allclose([got[i] for i in range(len(tied))], want, rtol=1e-14)
 
 
+def test_rows_move_with_one_copy_of_their_p(spark, monkeypatch):
+    """The p-value itself is the key of the q-values; zeros of both signs get the same one and stay as they are, hot or not."""
+    p = [0.0, -0.0] * 400 + [0.5, 0.75]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(p)], "i int, p double").repartition(3)
+    want = numpy_bh(p)
+    for check_bytes in (1 << 30, 0):
+        monkeypatch.setattr("pairlift.operators.skew.SKEW_CHECK_BYTES", check_bytes)
+        out = bh_adjust(df, "p")
+        got = {r["i"]: (r["p"], r["fdr"]) for r in out.collect()}
+        assert len(got) == len(p)
+        assert all(str(got[i][0]) == str(v) and got[i][1] == pytest.approx(want[i]) for i, v in enumerate(p))
+    join = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS _p#" not in join
+
+
 def test_edges_cut_evenly(spark):
     """Buckets hold like counts though the values are crowded, huge, negative, zero or infinite."""
     rng = np.random.default_rng(9)
